@@ -57,11 +57,21 @@ def buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 BASE = np.uint64(6364136223846793005)
 
 
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; those of the usual block are kept."""
+    most = 2 * BLOCK_BYTES
+    if n <= most and int(base) in _POWERS:
+        return _POWERS[int(base)][:n]
+    out = np.full(max(n, most), base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)[:n]
+    out = np.multiply.accumulate(out)
+    if n <= most:
+        _POWERS[int(base)] = out
+    return out[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,12 +81,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each string: polynomial in its bytes from differences of one running sum, then mixed with the length."""
-    n = len(data)
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), out=sums[1:])
-    starts, ends = offsets[:-1], offsets[1:]
-    scale = powers(n + 1, inverse)[starts]
-    return mix((sums[ends] - sums[starts]) * scale + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span: polynomial, from differences of one running sum, then mixed with the length."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(len(data) + 1, INVERSE)[starts] + (ends - starts).astype(np.uint64))
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """span_hashes of whole strings."""
+    offsets, data = buffers(strings)
+    return span_hashes(data, offsets[:-1], offsets[1:])
