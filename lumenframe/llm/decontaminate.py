@@ -136,7 +136,7 @@ def bit_filter(prints: DataFrame) -> np.ndarray:
     n = prints.select("fp").distinct().count()
     bits = min(FILTER_BITS, 1 << max(12, (64 * n - 1).bit_length() if n else 12))
     places = F.explode(F.array(F.col("fp").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(bits - 1))))
-    one = prints.select(places.alias("p")).select(F.shiftright("p", 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    one = prints.select(places.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
     out = np.zeros(bits // 64, np.uint64)
     for word, bit in one.groupBy("word").agg(F.bit_or("bit")).collect():
         out[word] = bit & (2**64 - 1)
