@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from . import eliasfano
 from .storage import new_folder
-from .words import blocks, split
+from .words import blocks, buffers, split
 
 MAGIC = b"LFTOKID\x01"
 TAIL = "<QQQQ"
 BLOCK = 8 << 20
-#: Chunks a worker remembers at most before it starts anew.
-REMEMBERED = 400_000
+#: Distinct units a worker remembers at most before it starts anew.
+REMEMBERED = 500_000
 #: Fixed value: the pre-tokenizer under which ASCII white space always separates and is dropped.
 WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 TRAILING = ".,;:!?|$%&*#\")"
@@ -78,43 +78,32 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         self.units: dict[str, int] = {"": 0}
-        self.chunks: dict[str, int] = {}
         self.flat, self.start, self.count = np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.pair = np.zeros((0, 2), np.int64)
 
     def encode_whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add_units(self, new: list[str]) -> None:
-        """Many units share a call, with a mark between them that no unit holds."""
-        marked = [x for x in new if "\x01" not in x]
-        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        runs = [marked[i : i + 200] for i in range(0, len(marked), 200)]
-        got = []
-        for ids in self.encode_whole([" \x01 ".join(x) for x in runs]):
-            ids = np.array(ids, np.int64)
-            got += np.split(ids, np.flatnonzero(ids == mark[0]))
-        parts = [x[1:] if len(x) and x[0] == mark[0] else x for x in got]
-        odd = [x for x in new if "\x01" in x]
-        parts += [np.array(x, np.int64) for x in self.encode_whole(odd)]
-        counts = np.array([len(x) for x in parts], np.int64)
+    def _add(self, new: list[str]) -> None:
+        """Many units share a call, with a mark after each that no unit holds."""
+        marked, odd = [x for x in new if "\x01" not in x], [x for x in new if "\x01" in x]
+        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids[0]
+        runs = [" \x01 ".join(marked[i : i + 200]) + " \x01" for i in range(0, len(marked), 200)]
+        ids = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in self.encode_whole(runs)]])
+        marks = np.flatnonzero(ids == mark)
+        alone = self.encode_whole(odd)
+        counts = np.concatenate((np.diff(np.concatenate(([-1], marks))) - 1, np.array([len(x) for x in alone], np.int64)))
         self.units |= {x: len(self.start) + i for i, x in enumerate(marked + odd)}
-        starts = len(self.flat) + np.cumsum(counts) - counts
-        self.flat = np.concatenate([self.flat, *[x.astype(self.kind) for x in parts]])
-        self.start, self.count = np.concatenate([self.start, starts]), np.concatenate([self.count, counts])
-
-    def _places(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.chunks]
-        if new:
-            pairs = []
-            for w in new:
-                core = w.rstrip(TRAILING)
-                pairs.append((core, w[len(core) :]) if core and core[-1].isascii() and core[-1].isalnum() else (w, ""))
-            if unknown := [x for x in dict.fromkeys(y for p in pairs for y in p) if x not in self.units]:
-                self._add_units(unknown)
-            self.chunks |= {w: len(self.pair) + i for i, w in enumerate(new)}
-            self.pair = np.concatenate([self.pair, np.array([(self.units[a], self.units[b]) for a, b in pairs], np.int64)])
-        return np.fromiter((self.chunks[w] for w in words), np.int64, len(words))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
+        self.count = np.concatenate((self.count, counts))
+        self.flat = np.concatenate([self.flat, ids[ids != mark].astype(self.kind), *[np.array(x, self.kind) for x in alone]])
+
+    def _places(self, strings: pa.Array) -> np.ndarray:
+        """The unit of each string; unknown ones are encoded first."""
+        coded = strings.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := [x for x in words if x not in self.units]:
+            self._add(new)
+        return np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids in each text); a null text has none."""
@@ -122,17 +111,47 @@ class ChunkEncoder:
             found = self.encode_whole(pc.fill_null(texts, "").to_pylist())
             counts = np.array([len(x) for x in found], np.int64)
             return np.concatenate([np.array(x, self.kind) for x in found] or [np.zeros(0, self.kind)]), counts
-        if len(self.chunks) > REMEMBERED:
+        if len(self.units) > REMEMBERED:
             self._forget()
         special = pc.any(pc.match_substring(pc.fill_null(texts, ""), "<|")).as_py()
         bounds, flat = split(texts, lower=not special)
-        coded = flat.dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())
-        units = self.pair[places[coded.indices.to_numpy(zero_copy_only=False)]].ravel() if len(flat) else np.zeros(0, np.int64)
-        lengths = self.count[units]
-        ids = self.flat[ragged(self.start[units], lengths)]
-        upto = np.concatenate(([0], np.cumsum(lengths)))[2 * bounds]
-        return ids, np.diff(upto)
+        core, tails, ended = cut_tails(flat)
+        units = np.zeros((len(flat), 2), np.int64)
+        if len(flat):
+            units[:, 0] = self._places(core)
+            units[ended, 1] = self._places(tails)
+        lengths = self.count[units.ravel()]
+        ids = self.flat[ragged(self.start[units.ravel()], lengths)]
+        return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[2 * bounds])
+
+
+def cut_tails(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(words without the TRAILING characters after an ASCII letter or digit, those cut off, which words had some)."""
+    if not len(words):
+        return words, words, np.zeros(0, np.int64)
+    core = pc.ascii_rtrim(words, characters=TRAILING)
+    offsets, data = buffers(core)
+    whole, all_bytes = buffers(words)
+    last = data[np.maximum(offsets[1:] - 1, 0)] if len(data) else np.zeros(len(words), np.uint8)
+    plain = (last >= 48) & (last < 58) | (last >= 65) & (last < 91) | (last >= 97) & (last < 123)
+    short, long = np.diff(offsets), np.diff(whole)
+    ended = np.flatnonzero(plain & (short > 0) & (short < long))
+    keep = np.zeros(len(words), bool)
+    keep[ended] = True
+    ends = np.concatenate(([0], np.cumsum((long - short)[ended]))).astype(np.int32)
+    cut = all_bytes[ragged(whole[ended] + short[ended], (long - short)[ended])]
+    tails = pa.StringArray.from_buffers(len(ended), pa.py_buffer(ends), pa.py_buffer(cut))
+    return pc.if_else(pa.array(keep), core, words), tails, ended
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(tokenizer_file: str) -> ChunkEncoder:
+    """This worker's encoder of the file; later tasks find what earlier ones encoded."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = ChunkEncoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -159,7 +178,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
         for batch in batches:
             for part in blocks(batch, most=BLOCK):
                 if encoder is None:
-                    encoder, own = ChunkEncoder(tokenizer_file), f"{path}/.{uuid.uuid4().hex}"
+                    encoder, own = encoder_of(tokenizer_file), f"{path}/.{uuid.uuid4().hex}"
                     out = store.open_output_stream(own)
                     out.write(MAGIC)
                 found, lengths = encoder.encode(part.column("text"))
