@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .langid import language
+from .pieces import piece_digests
 from .quality import quality
 from .simhash import simhash_components
 from .storage import table
 from .token_files import token_digests
 from .toxicity import toxicity
+from .wordpiece import token_counts
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,10 +27,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +51,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_files, op5_decontaminate, op7_quality, op8_language, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_files, op4_token_counts, op5_decontaminate, op6_pieces, op7_quality, op8_language, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
