@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import blocks
+
 
 def remainder(modulus: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id's text modulo ``modulus``; null for a null id."""
@@ -44,3 +47,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * np.asarray(x, np.float64)))
+
+
+def keep_rows(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose text's score ``keep`` accepts, all columns as they are; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch):
+                yield part.filter(pa.array(keep(score(part.column("text")))))
+
+    return docs.mapInArrow(run, docs.schema)

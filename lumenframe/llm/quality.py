@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, labelled_sample, sigmoid
+from .labelled import held_out, keep_rows, labelled_sample, sigmoid
 from .words import blocks, buffers, split, string_hashes
 
 PASSAGE = 48
@@ -181,3 +181,9 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
     """
     scored = score_quality(docs, train_quality(docs, labels, modulus, held))
     return scored.select("doc_id", held_out(modulus, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that quality() predicts as 1, with all their columns."""
+    model = train_quality(docs, labels, modulus, held)
+    return keep_rows(docs, model.scores, lambda s: s >= threshold)

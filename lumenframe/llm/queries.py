@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .langid import language
+from .neardup_vectors import embedding_components
 from .pieces import piece_digests
 from .quality import quality
 from .simhash import simhash_components
 from .storage import table
 from .token_files import token_digests
 from .toxicity import toxicity
+from .urlfilter import filter_urls, host_of
 from .wordpiece import token_counts
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +30,33 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2)
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the hosts of ``pages``, by rule from the host's MD5: the tables hold no list."""
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    hosts = hosts.withColumn("n", F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int"))
+    entry = lambda name, pattern, action, n, when: F.when(when, F.struct(F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("day")))
+    host, n = F.col("host"), F.col("n")
+    parent = F.regexp_replace(host, r"^[^.]*\.", "")
+    rules = [
+        entry("ads", host, "add", n % 400, n % 3 == 0),
+        entry("ads", host, "remove", n % 400 + 90 + n % 200, n % 6 == 0),
+        entry("ads", host, "add", n % 400 + 400, n % 12 == 0),
+        entry("malware", parent, "add", n % 500, (n % 11 == 0) & (F.size(F.split(host, r"\.")) > 3)),
+        entry("malware", parent, "remove", n % 500 + 60, (n % 22 == 0) & (F.size(F.split(host, r"\.")) > 3)),
+        entry("regional", F.concat(host, F.lit("/de")), "add", n % 300, n % 2 == 0),
+    ]
+    return hosts.select(F.explode(F.array_compact(F.array(*rules))).alias("e")).select("e.*")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page evaluated on a fetch day that follows from its id, against the lists of dated_entries."""
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 900).cast("int"))
+    out = filter_urls(pages.select(F.col("page_id").alias("id"), "url", fetched.alias("fetched")), dated_entries(pages))
+    return out.select(F.col("id").alias("page_id"), "host", "fetched", F.array_join("lists", ",").alias("lists"), "matched", "blocked")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -47,10 +77,44 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_files, op4_token_counts, op5_decontaminate, op6_pieces, op7_quality, op8_language, op10_toxicity)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_files, op3_url_filter, op4_token_counts, op5_decontaminate, op6_pieces, op7_quality, op8_language, op9_embeddings, op10_toxicity)}
+
+ORACLES: dict[str, str] = {
+    "op3_url_filter": r"""
+WITH p AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id * 7919 % 900 AS INTEGER) AS fetched,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', ''), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]*)', 1) AS seg
+  FROM pages),
+h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS n FROM p WHERE host IS NOT NULL),
+e AS (
+  SELECT 'ads' AS list, host AS pattern, 'add' AS action, n % 400 AS k FROM h WHERE n % 3 = 0
+  UNION ALL SELECT 'ads', host, 'remove', n % 400 + 90 + n % 200 FROM h WHERE n % 6 = 0
+  UNION ALL SELECT 'ads', host, 'add', n % 400 + 400 FROM h WHERE n % 12 = 0
+  UNION ALL SELECT 'malware', regexp_replace(host, '^[^.]*\.', ''), 'add', n % 500 FROM h WHERE n % 11 = 0 AND len(string_split(host, '.')) > 3
+  UNION ALL SELECT 'malware', regexp_replace(host, '^[^.]*\.', ''), 'remove', n % 500 + 60 FROM h WHERE n % 22 = 0 AND len(string_split(host, '.')) > 3
+  UNION ALL SELECT 'regional', host || '/de', 'add', n % 300 FROM h WHERE n % 2 = 0),
+q AS (
+  SELECT page_id, fetched, host, unnest(list_distinct(list_concat(
+           list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
+           CASE WHEN seg <> '' THEN [host || '/' || seg] ELSE [] END))) AS pattern
+  FROM p WHERE host IS NOT NULL),
+d AS (SELECT list, pattern, k, bool_or(action = 'add') AS is_on FROM e GROUP BY ALL),
+a AS (
+  SELECT q.page_id, q.pattern, d.list, d.is_on, row_number() OVER (PARTITION BY q.page_id, q.pattern, d.list ORDER BY d.k DESC) AS r
+  FROM q JOIN d ON q.pattern = d.pattern AND DATE '2024-01-01' + CAST(d.k AS INTEGER) <= q.fetched),
+v AS (
+  SELECT page_id, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, arg_min(pattern, (-length(pattern), pattern)) AS matched
+  FROM a WHERE r = 1 AND is_on GROUP BY page_id)
+SELECT p.page_id, p.host, p.fetched, coalesce(v.lists, '') AS lists, v.matched, v.matched IS NOT NULL AS blocked
+FROM p LEFT JOIN v ON p.page_id = v.page_id
+""",
+}

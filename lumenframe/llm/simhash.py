@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _settle(names: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+def settle(names: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
     """Merges the classes of linked positions; names[i] is the least position known in i's class."""
     while True:
         a, b = names[left], names[right]
@@ -126,7 +126,7 @@ def tile_links(fp: np.ndarray, radius: int = RADIUS, step: int = STEP, split_at:
             if bits[right[0]] - bits[left[-1]] > radius or bits[left[0]] - bits[right[-1]] > radius:
                 continue
             i, j = np.nonzero(np.bitwise_count(fp[left][:, None] ^ fp[right][None, :]) <= radius)
-            _settle(names, left[i], right[j])
+            settle(names, left[i], right[j])
     found = np.flatnonzero(names != np.arange(len(fp)))
     return names[found], found
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import word_spans
-from .labelled import held_out, labelled_sample, sigmoid
+from .labelled import held_out, keep_rows, labelled_sample, sigmoid
 from .words import blocks, mix, span_hashes
 
 BITS = 20
@@ -127,3 +127,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2
     """
     scored = score_toxicity(docs, train_toxicity(docs, labels, modulus, held))
     return scored.select("doc_id", held_out(modulus, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that toxicity() predicts as 0, with all their columns."""
+    model = train_toxicity(docs, labels, modulus, held)
+    return keep_rows(docs, lambda texts: sigmoid(model.margins(texts)), lambda s: s < threshold)
