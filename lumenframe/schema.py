@@ -43,8 +43,8 @@ STATE_DOCUMENT = ", ".join(
         "categories array<string>",
         "images map<string, struct<" + ", ".join(f"{camel(n)}: {t}" for n, t in _RECORD) + ">>",
         "ocrWordThreshold int",
-        "ocrAreaThreshold float",
-        "nsfwScoreThreshold float",
+        "ocrAreaThreshold double",
+        "nsfwScoreThreshold double",
         "excludedAnalysisFolders array<string>",
     ]
 )
