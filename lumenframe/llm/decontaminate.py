@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Table
-from .words import blocks, buffers, mix, span_hashes
+from .words import blocks, buffers, map_texts, mix, span_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -122,7 +122,7 @@ def scan(texts: DataFrame, lengths: list[int] | None, bits: np.ndarray | None, g
                 listed = pa.array([[dict(zip(_PRINT.names, r, strict=True)) for r in x] for x in prints], pa.list_(_PRINT))
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("id"), pa.array(counts), listed], ["uid", "id", "n_words", "prints"])
 
-    return texts.mapInArrow(run, f"uid long, id long, n_words long, prints array<struct<{', '.join(x.replace(' ', ':', 1) for x in CONTEXT.split(', '))}>>")
+    return map_texts(texts, run, f"uid long, id long, n_words long, prints array<struct<{', '.join(x.replace(' ', ':', 1) for x in CONTEXT.split(', '))}>>")
 
 
 def filter_places(prints: np.ndarray, words: int) -> list[np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import blocks
+from .words import blocks, map_texts
 
 
 def remainder(modulus: int, id_col: str = "doc_id") -> Column:
@@ -57,4 +57,4 @@ def keep_rows(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], keep: Ca
             for part in blocks(batch):
                 yield part.filter(pa.array(keep(score(part.column("text")))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

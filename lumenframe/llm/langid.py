@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, remainder
-from .words import blocks, buffers
+from .words import blocks, buffers, map_texts
 
 WINDOW = 64
 HIDDEN = 8
@@ -195,7 +195,7 @@ def train_langid(docs: DataFrame, modulus: int = 4, held: int = 2, per_language:
                     out.append([rows[j, : real[j]].tobytes() for j in picks])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "lang", "windows"])
 
-    found = drawn.mapInArrow(encode, "doc_id long, lang string, windows array<binary>").where(F.size("windows") > 0)
+    found = map_texts(drawn, encode, "doc_id long, lang string, windows array<binary>").where(F.size("windows") > 0)
     found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("windows")).limit(per_language * len(share) * 2).collect()
     labels = sorted({r.lang for r in found})
     if not labels:
@@ -226,5 +226,5 @@ def language(docs: DataFrame, modulus: int = 4, held: int = 2, label: str = "lan
                     scores = np.where(known, np.minimum(p[np.arange(len(best)), best], 1.0), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    scored = map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", held_out(modulus, held).alias("held_out"), "lang_pred", "score")

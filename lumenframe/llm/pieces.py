@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .trie import ByteTrie
-from .words import blocks, buffers, mix
+from .words import blocks, buffers, map_texts, mix
 
 SEED = 2024
 #: Weight of a piece: (2 + its rank among merges) ** -THETA; larger is closer to the best segmentation.
@@ -222,7 +222,7 @@ def encode_pieces(docs: DataFrame, model_file: str, theta: float = THETA, seed:
                 cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -235,7 +235,7 @@ def decode_pieces(encoded: DataFrame, model_file: str) -> DataFrame:
             texts = lattice_of(model_file).decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return map_texts(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")
 
 
 def piece_digests(docs: DataFrame, model_file: str, theta: float = THETA, seed: int = SEED) -> DataFrame:
@@ -257,4 +257,4 @@ def piece_digests(docs: DataFrame, model_file: str, theta: float = THETA, seed:
                 same = pc.equal(pa.array(texts, pa.string()), pc.fill_null(part.column("text"), ""))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(crc, pa.int64()), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), same], ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, keep_rows, labelled_sample, sigmoid
-from .words import blocks, buffers, split, string_hashes
+from .words import blocks, buffers, map_texts, split, string_hashes
 
 PASSAGE = 48
 PER_CLASS = 2000
@@ -159,7 +159,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: in
                 rows = [x[a:b].astype("<f2").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "encoded"])
 
-    rows, y, shift = labelled_sample(docs, labels, "quality", modulus, held, per_class, lambda d: d.mapInArrow(encode, "doc_id long, encoded binary"))
+    rows, y, shift = labelled_sample(docs, labels, "quality", modulus, held, per_class, lambda d: map_texts(d, encode, "doc_id long, encoded binary"))
     return fit_attention([np.frombuffer(x, "<f2").reshape(-1, WIDTH).astype(np.float32) for x in rows], y, shift)
 
 
@@ -171,7 +171,7 @@ def score_quality(docs: DataFrame, model: AttentionModel) -> DataFrame:
             for part in blocks(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(part.column("text")), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import Table
-from .words import blocks, buffers, split
+from .words import blocks, buffers, map_texts, split
 
 SEED = 42
 RADIUS = 4
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = majority(*shingle_hashes(part.column("text"))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, fp long")
 
 
 def settle(names: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:

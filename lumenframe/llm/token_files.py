@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import eliasfano
 from .storage import new_folder
-from .words import blocks, buffers, split
+from .words import blocks, buffers, map_texts, split
 
 MAGIC = b"LFTOKID\x01"
 TAIL = "<QQQQ"
@@ -201,7 +201,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
         store.move(own, file)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(counts)], "n_ids": [int(ends[-1])]}, pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = dealt.mapInArrow(run, "shard long, n_docs long, n_ids long").collect()
+    rows = map_texts(dealt, run, "shard long, n_docs long, n_ids long").collect()
     return [{"shard": r.shard, "file": f"{folder}/{r.shard:08d}.ids", "n_docs": r.n_docs, "n_ids": r.n_ids} for r in sorted(rows)]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import word_spans
 from .labelled import held_out, keep_rows, labelled_sample, sigmoid
-from .words import blocks, mix, span_hashes
+from .words import blocks, map_texts, mix, span_hashes
 
 BITS = 20
 STEMS = (4, 5, 6)
@@ -105,7 +105,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: i
                 rows = [x.astype("<u4").tobytes() for x in np.split(found, cuts)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "encoded"])
 
-    rows, y, shift = labelled_sample(docs, labels, "toxic", modulus, held, per_class, lambda d: d.mapInArrow(encode, "doc_id long, encoded binary"))
+    rows, y, shift = labelled_sample(docs, labels, "toxic", modulus, held, per_class, lambda d: map_texts(d, encode, "doc_id long, encoded binary"))
     return fit_ftrl([np.frombuffer(x, "<u4") for x in rows], y, shift)
 
 
@@ -117,7 +117,7 @@ def score_toxicity(docs: DataFrame, model: SparseModel) -> DataFrame:
             for part in blocks(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sigmoid(model.margins(part.column("text"))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:

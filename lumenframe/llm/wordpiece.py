@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .trie import ByteTrie
-from .words import blocks, buffers, split
+from .words import blocks, buffers, map_texts, split
 
 DEAD = -1
 #: Longer words walk alone, so that a few of them don't hold up a block.
@@ -135,4 +135,4 @@ def token_counts(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[bounds])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sums(np.abs(each))), pa.array(sums(each < 0).astype(np.int64))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_tokens long, n_unknown long")

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Text bytes handled together; one longer text is handled alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and Python, so that neither side holds tens of megabytes a task.
+BATCH_BYTES = 4 << 20
+
+
+def map_texts(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over rows that may be long: the session's batches are bounded by bytes, not by rows alone."""
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", conf.get(key))[0]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return frame.mapInArrow(run, schema)
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -63,7 +76,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; those of the usual block are kept."""
-    most = 2 * BLOCK_BYTES
+    most = BLOCK_BYTES + 1
     if n <= most and int(base) in _POWERS:
         return _POWERS[int(base)][:n]
     out = np.full(max(n, most), base, np.uint64)
