@@ -15,6 +15,7 @@ from ..functions import numbers, paths, text
 from ..operators import classify as rules
 from ..operators import detector, edits, ocr, passes, reconcile, videos
 from ..operators import views as shown
+from ..sources import legacy
 from . import views as V
 
 NOW = "2026-01-01T00:00:00.000Z"
@@ -611,3 +612,41 @@ def delete_category(spark, d):
 def toggle_folder(spark, d):
     base = F.array(*[F.lit(x) for x in V.EXCLUDED])
     return V.read(spark, d, "documents").select("doc_id", F.array_join(edits.toggled(base, F.col("source"), F.col("doc_id") % 2 == 0), ",").alias("excluded"))
+
+
+# --- modes that agree with old libraries (no SQL; tested against the plain functions) ------------
+
+
+@query()
+def legacy_content_hash(spark, d):
+    """Each document's text as a file's content."""
+    docs = V.read(spark, d, "documents")
+    head = F.substring(F.col("text").cast("binary"), 1, 65536)
+    return docs.select("doc_id", legacy.content_hash_column(F.octet_length("text"), head).alias("hash"))
+
+
+@query()
+def legacy_sample(spark, d):
+    """The title plan with samples as old libraries drew them."""
+    return _title_plan(spark, d).select("key", "member_hashes", legacy.sample_column(F.col("member_hashes"), 10).alias("selected_hashes"))
+
+
+@query("SELECT hash, relative_path, last_known_path = relative_path AS is_winner FROM files f JOIN (SELECT hash, last_known_path FROM records) USING (hash) WHERE last_known_path <> relative_path OR last_known_path = relative_path", (V.FILES_SQL, V.RECORDS_SQL))
+def duplicate_files(spark, d):
+    """Every file with whether its record points at it: copies share a record."""
+    joined = V.files(spark, d).join(V.records(spark, d).select("hash", "last_known_path"), "hash")
+    return joined.select("hash", "relative_path", (F.col("last_known_path") == F.col("relative_path")).alias("is_winner"))
+
+
+@query("SELECT l.hash, l.relative_path, CASE WHEN r.hash IS NOT NULL THEN '.thumbs/' || l.hash || '.jpg' END AS thumbnail FROM files l LEFT JOIN (SELECT hash FROM records WHERE modified_ms % 2000 = 0) r ON l.hash = r.hash", (V.FILES_SQL, V.RECORDS_SQL))
+def thumbnails_joined(spark, d):
+    made = V.records(spark, d).where("modified_ms % 2000 = 0").select("hash", F.concat(F.lit(".thumbs/"), F.col("hash"), F.lit(".jpg")).alias("thumbnail"))
+    return shown.with_thumbnails(V.files(spark, d).select("hash", "relative_path"), made)
+
+
+@query("SELECT p_partkey, round_even(CAST(CAST(greatest(0.0, least(1.0, p_retailprice / 1500)) AS FLOAT) AS DOUBLE), 6) AS share, CAST(greatest(96, least(280, p_size * 10)) AS INTEGER) AS tile FROM part")
+def clamps(spark, d):
+    part = V.read(spark, d, "part")
+    share = numbers.unit((F.col("p_retailprice") / 1500).cast("float"))
+    tile = F.greatest(F.lit(96), F.least(F.lit(280), F.col("p_size") * 10)).cast("int")
+    return part.select("p_partkey", F.bround(share.cast("double"), 6).alias("share"), tile.alias("tile"))

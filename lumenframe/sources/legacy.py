@@ -6,6 +6,10 @@ and prefix, and an FNV-1a-seeded xorshift shuffle.
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MASK = (1 << 64) - 1
 # SipHash's initial state, FNV-1a's offset basis and prime, the xorshift triple.
 SIP_STATE = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
@@ -63,3 +67,23 @@ def sample(members: list[str], n: int) -> list[str]:
         pick = state % (last + 1)
         pool[last], pool[pick] = pool[pick], pool[last]
     return sorted(pool[:n])
+
+
+def content_hash_column(size: Column, head: Column) -> Column:
+    """content_hash of a size and a binary column; null for a null head."""
+
+    @F.pandas_udf("string")
+    def run(sizes: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else content_hash(int(n), bytes(h)) for n, h in zip(sizes, heads, strict=True)], dtype=object)
+
+    return run(size, head)
+
+
+def sample_column(members: Column, n: int) -> Column:
+    """sample of an array column."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else sample(list(x), n))
+
+    return run(members)

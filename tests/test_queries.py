@@ -45,3 +45,13 @@ def test_query_matches_its_oracle(spark, duck, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_legacy_queries_against_the_plain_functions(spark):
+    from lumenframe.sources.legacy import content_hash, sample
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.hash for r in entry.queries()["legacy_content_hash"](spark, SF).collect()}
+    assert got == {k: None if t is None else content_hash(len(t.encode()), t.encode()[:65536]) for k, t in texts.items()}
+    for r in entry.queries()["legacy_sample"](spark, SF).collect():
+        assert r.selected_hashes == sample(r.member_hashes, 10)
