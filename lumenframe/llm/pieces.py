@@ -28,7 +28,27 @@ from .words import blocks, buffers, map_texts, mix
 SEED = 2024
 #: Weight of a piece: (2 + its rank among merges) ** -THETA; larger is closer to the best segmentation.
 THETA = 1.0
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+#: Bytes of segments that are filtered together, and segments that a worker remembers before it starts anew.
+PART = 256 << 10
+REMEMBERED = 250_000
+
+
+class Column:
+    """A growing array."""
+
+    def __init__(self, kind: type):
+        self._data, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.size + len(values) > len(self._data):
+            self._data = np.concatenate((self._data, np.zeros(len(self._data) // 2, self._data.dtype)))
+        self._data[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._data[: self.size]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -67,13 +87,14 @@ class PieceLattice:
         self.raw_size = np.array([len(x) for x in raw], np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self._forget()
 
     def lattice(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Forward filter of all segments at once.
 
-        Returns (first edge of each node, edge start positions, edge piece ids, edge probabilities); the
-        nodes are the bytes of ``data``, node k standing for the position after byte k; the edges of a
-        node are the pieces that may come last before it, with their shares of its weight.
+        Returns (edges of each node, edge lengths in bytes, edge piece ids, edge probabilities); the nodes
+        are the bytes of ``data``, node k standing for the position after byte k; the edges of a node
+        are the pieces that may come last before it, with their shares of its weight.
         """
         size = len(data)
         sizes = np.diff(offsets)
@@ -133,7 +154,39 @@ class PieceLattice:
             sums = np.add.reduceat(p, cuts)
             total[nodes] = top + np.log(sums)
             share[edges] = p / np.repeat(sums, total_k)
-        return first, start, name, share
+        return count, end - start + 1, name, share
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.low, self.high = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first = Column(np.int64)
+        self.length, self.name, self.share = Column(np.uint8), Column(np.int32), Column(np.float32)
+        self.first.add(np.zeros(1, np.int64))
+
+    def _segments(self, strings: pa.Array) -> np.ndarray:
+        """The number of each distinct segment among those filtered already; the others are filtered now, a part at a time."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        words = strings.to_pylist()
+        out = np.array([self.known.get(w, -1) for w in words], np.int64)
+        fresh = np.flatnonzero(out < 0)
+        if len(fresh):
+            new = strings.take(pa.array(fresh))
+            offsets, data = buffers(new)
+            parts = np.concatenate(([0], np.unique(np.searchsorted(offsets, np.arange(PART, len(data) + PART, PART), "left")).clip(1, len(new)), [len(new)]))
+            for i, j in zip(parts[:-1].tolist(), parts[1:].tolist(), strict=True):
+                if i < j:
+                    at = self.first.size - 1
+                    own = offsets[i : j + 1] - offsets[i]
+                    count, length, name, share = self.lattice(own, data[offsets[i] : offsets[j]])
+                    self.first.add(self.length.size + np.cumsum(count))
+                    for column, values in ((self.length, length), (self.name, name), (self.share, share)):
+                        column.add(values)
+                    self.low = np.concatenate((self.low, at + own[:-1]))
+                    self.high = np.concatenate((self.high, at + own[1:]))
+            out[fresh] = len(self.known) + np.arange(len(fresh))
+            self.known |= dict(zip([words[k] for k in fresh.tolist()], out[fresh].tolist(), strict=True))
+        return out
 
     def sample(self, texts: pa.Array, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all texts, pieces of each text); null and empty texts have none."""
@@ -150,15 +203,14 @@ class PieceLattice:
         bounds = np.concatenate((np.flatnonzero(cut), [len(data)]))
         segments = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = segments.dictionary_encode()
-        seg_offsets, seg_data = buffers(coded.dictionary)
-        first, start, name, share = self.lattice(seg_offsets, seg_data)
-        which = coded.indices.to_numpy(zero_copy_only=False)
+        which = self._segments(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        first, length, name, share = self.first.values, self.length.values, self.name.values, self.share.values
         per_text = np.searchsorted(bounds[:-1], offsets)
         text_of = np.repeat(np.arange(len(texts)), np.diff(per_text))
         nth = np.arange(len(which)) - per_text[text_of]
         stream = mix(mix(keys.astype(np.uint64) ^ np.uint64(seed))[text_of] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        low = seg_offsets[:-1][which]
-        node = seg_offsets[1:][which] - 1
+        low = self.low[which]
+        node = self.high[which] - 1
         active = np.arange(len(which))
         pieces = np.zeros(len(which), np.int64)
         drawn = []
@@ -176,8 +228,8 @@ class PieceLattice:
                 open_ = open_[edge[open_] < last[open_]]
             drawn.append((active, name[edge]))
             pieces[active] += 1
-            node = start[edge] - 1
-            more = start[edge] > low[active]
+            node = node - length[edge]
+            more = node >= low[active]
             active, node = active[more], node[more]
             step += 1
         ends = np.cumsum(pieces)
