@@ -67,7 +67,7 @@ class SparseModel:
         return np.bincount(owners, dense[found], len(texts)) + self.bias
 
 
-def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, shift: float = 0.0, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 4, seed: int = 7) -> SparseModel:
+def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, shift: float = 0.0, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0, epochs: int = 8, seed: int = 7) -> SparseModel:
     """FTRL-proximal over rows of distinct features; each coordinate has its own learning rate.
 
     ``shift`` is added to the intercept.  Without rows of both classes every score is the share of ones.
