@@ -16,7 +16,7 @@ from . import constants as C
 from .functions import paths, text
 from .operators import classify, edits, passes, reconcile, videos, views
 from .sinks import store as sinks
-from .sources import documents, files
+from .sources import documents, files, models
 from .sources.models import Enricher
 
 
@@ -55,6 +55,10 @@ class Busy(RuntimeError):
     """A pass of this kind is running for the library."""
 
 
+#: (root, pass) of what runs on this driver, whichever object started it.
+_RUNNING: set[tuple[str, str]] = set()
+
+
 class Library:
     """One library; ``root`` is mounted on all executors, ``state`` may be in any store (by default below the root)."""
 
@@ -63,7 +67,6 @@ class Library:
             raise ValueError("Root folder does not exist.")
         self.spark, self.root, self.legacy, self.now = spark, os.path.abspath(root), legacy_hash, clock
         self.store = sinks.RecordStore(spark, state or f"file://{self.root}/.lumenframe")
-        self._running: set[str] = set()
 
     # --- scanning ---
 
@@ -192,10 +195,12 @@ class Library:
 
     def run_pass(self, name: str, enrich: Enricher, force: bool = False) -> str:
         """Runs a pass over what is pending and merges its results into what is stored by then."""
-        if name in self._running:
+        key = (self.root, name)
+        if key in _RUNNING:
             raise Busy(f"{name} is already running.")
-        self._running.add(name)
+        _RUNNING.add(key)
         try:
+            self.spark.sparkContext.setJobGroup(self._group(name), f"{name} of {self.root}", True)
             which = passes.PASSES[name]
             view = self.scan()
             excluded = view.folders.where("excluded").select("name")
@@ -225,7 +230,44 @@ class Library:
             n = results.where(F.col(which.marker).isNotNull()).count()
             return f"{n} analyzed."
         finally:
-            self._running.discard(name)
+            _RUNNING.discard(key)
+            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    def _group(self, name: str) -> str:
+        return f"lumenframe {self.root} {name}"
+
+    def cancel(self, name: str) -> None:
+        """Ends a running pass's jobs; what earlier commits merged stays, the rest stays pending."""
+        self.spark.sparkContext.cancelJobGroup(self._group(name))
+
+    def run_vision(self, make_client, encode, settings: documents.Settings, prompt: str, force: bool = False) -> str:
+        """Describes eligible images, writes their documents and the index, and says how many failed or were skipped."""
+        model, endpoint = settings.vision_model.strip() or C.DESCRIBE_MODEL, settings.vision_endpoint.strip() or C.DESCRIBE_ENDPOINT
+        asked: list[DataFrame] = []
+
+        def enrich(todo: DataFrame) -> DataFrame:
+            titles = self.store.read()[1].select("hash", "video_title")
+            path = f"{self.store.folder}/descriptions-{self.now().replace(':', '')}"
+            models.described(todo, make_client, encode, model, prompt).write.mode("overwrite").parquet(path)  # asked once
+            found = self.spark.read.parquet(path)
+            asked.append(found)
+            rows = found.where("description is not null").join(todo.select("hash", "relative_path", "name"), "hash").join(titles, "hash", "left")
+            written = sinks.description_documents(rows, model, self.now())
+            sinks.write_descriptions(written, self.root)
+            return written.select("hash", "vision_desc_chars")
+
+        skipped = {r.reason: r.n for r in self._skips().collect()}
+        self.run_pass("vision", enrich, force)
+        self.write_index()
+        total = asked[0].count() if asked else 0
+        if not total:
+            return text.skip_notes(skipped.get("unscored", 0), skipped.get("explicit", 0), skipped.get("video", 0))
+        failures = asked[0].where("description is null").count()
+        return text.described_summary(total - failures, failures, endpoint)
+
+    def _skips(self) -> DataFrame:
+        view = self.scan()
+        return passes.skip_counts(view.images, self.plan(), view.folders.where("excluded").select("name"), view.config.nsfw_score_threshold)
 
     # --- video plans ---
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import AREA_THRESHOLD, PLAN_FILE, SCORE_THRESHOLD, STATE_FILE, WORD_THRESHOLD
+from ..functions.paths import check_time
+from ..operators.edits import move_to_front
+from ..operators.passes import SCHEDULED
 from ..schema import PLAN, PLAN_DOCUMENT, RECORD_COLUMNS, RECORDS, STATE_DOCUMENT, camel, struct
 
 
@@ -67,6 +70,27 @@ def read_settings(path: str) -> Settings:
     return Settings(**known)
 
 
+def write_settings(settings: Settings, path: str) -> None:
+    """Replaces the settings file by a whole one."""
+    fresh = f"{path}.tmp"
+    with open(fresh, "w", encoding="utf-8") as f:
+        json.dump(asdict(settings), f, indent=2)
+    os.replace(fresh, path)
+
+
+def remember_root(settings: Settings, root: str) -> Settings:
+    """The root first among the known ones, each once."""
+    return replace(settings, known_roots=tuple(move_to_front(list(settings.known_roots), root)))
+
+
+def with_auto_refresh(settings: Settings, enabled: bool, at: str, roots: list[str], passes: list[str]) -> Settings:
+    """Checked settings of the scheduled refresh: known roots that exist, at a time of day."""
+    known = tuple(r for r in roots if r in settings.known_roots and os.path.isdir(r))
+    if enabled and not known:
+        raise ValueError("Choose at least one folder to refresh.")
+    return replace(settings, auto_refresh_enabled=enabled, auto_refresh_time=check_time(at), auto_refresh_roots=known, auto_refresh_passes=tuple(p for p in SCHEDULED if p in passes))
+
+
 def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The one row of a JSON document.  Its name may begin with a dot, which Spark's own readers pass over."""
     with open(path, encoding="utf-8") as f:

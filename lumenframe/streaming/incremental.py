@@ -19,8 +19,6 @@ def merge_batch(store: RecordStore, columns: list[str], now: str) -> Callable[[D
     """Merges a batch of updates into what is stored now and classifies; merging a batch again changes nothing."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         store.commit(lambda c, r: (c, classify(merge_columns(r, batch, columns), F.lit(now), c.ocr_word_threshold, c.ocr_area_threshold, c.nsfw_score_threshold)))
 
     return merge

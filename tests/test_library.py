@@ -7,12 +7,13 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.library import Library, scheduled_refresh
+from lumenframe.library import Busy, Library, scheduled_refresh
 from lumenframe.session import prepare
 from lumenframe.sinks import store as sinks
 from lumenframe.sources import documents, files
 from lumenframe.sources.documents import Settings
 from lumenframe.streaming.incremental import stream_results
+from lumenframe.streaming.progress import PassProgress
 from lumenframe.operators.passes import PASSES
 
 
@@ -211,3 +212,55 @@ def test_text_and_description_files(spark, tmp_path):
     assert stored == {"schemaVersion": 1, "hash": "h", "relativePath": "a/b.png", "name": "b.png", "videoTitle": None, "description": "Größe", "model": "m", "promptVersion": 1, "analyzedAt": "now"}
     made = sinks.write_thumbnails(spark.createDataFrame([("h", "x"), ("h", "x"), ("bad", "y")], "hash string, absolute_path string"), str(tmp_path), lambda s, t: Path(t).write_text(s) if s == "x" else 1 / 0, ".thumbs")
     assert {r.hash: bool(r.thumbnail) for r in made.collect()} == {"h": True, "bad": False}
+
+
+def test_vision_pass_writes_documents_and_says_what_it_skipped(library):
+    low = lambda todo: todo.select("hash", F.when(F.col("relative_path").contains("p.png"), 0.9).otherwise(0.1).cast("float").alias("nsfw_score"), F.array().cast("array<string>").alias("nsfw_labels"))
+    client = lambda: lambda body: '{"choices":[{"message":{"content":" a beach "}}]}'
+
+    def encode(path):
+        if path.endswith("_u.png"):
+            raise OSError("unreadable")
+        return b"jpeg"
+
+    settings = Settings(vision_model=" ")
+    assert library.run_vision(client, encode, settings, "p") == "Nothing to describe. Skipped: 6 not yet Explicit-analyzed (run Explicit first)."
+    library.run_pass("nsfw", low)
+    assert library.run_vision(client, encode, settings, "p") == "Described 3 images. 1 failed (see logs; endpoint http://localhost:1234/v1/chat/completions)."
+    stored = list(Path(library.root, ".image-categorizer-descriptions").glob("*.txt"))
+    assert len(stored) == 3 and stored[0].read_text() == "a beach"
+    assert library.run_vision(client, lambda p: b"jpeg", settings, "p") == "Described 1 image."
+    assert library.run_vision(client, encode, settings, "p") == "Nothing to describe. Skipped: 1 explicit."
+
+
+def test_one_pass_of_a_kind_at_a_time(library, spark):
+    def again(todo):
+        with pytest.raises(Busy):
+            Library(spark, library.root).run_pass("nsfw", lambda t: t)
+        return todo.select("hash", F.lit(0.1).cast("float").alias("nsfw_score"), F.array().cast("array<string>").alias("nsfw_labels"))
+
+    assert library.run_pass("nsfw", again) == "5 analyzed."
+    library.cancel("nsfw")  # nothing runs: nothing happens
+
+
+def test_settings_and_progress(library, spark, tmp_path):
+    settings = documents.remember_root(documents.remember_root(Settings(), "/none"), library.root)
+    assert settings.known_roots == (library.root, "/none")
+    with pytest.raises(ValueError):
+        documents.with_auto_refresh(settings, True, "04:00", ["/none"], [])
+    settings = documents.with_auto_refresh(settings, True, "4:05", [library.root], ["text", "vision", "nsfw"])
+    assert (settings.auto_refresh_time, settings.auto_refresh_passes) == ("04:05", ("nsfw", "text"))
+    documents.write_settings(settings, str(tmp_path / "s.json"))
+    assert documents.read_settings(str(tmp_path / "s.json")) == settings
+    events = []
+    listener = PassProgress(lambda n, rows: events.append(rows), lambda n, error: events.append(error))
+    spark.streams.addListener(listener)
+    schema = "hash string, ocr_text_chars int"
+    spark.createDataFrame([("x", 1), ("y", 2)], schema).write.parquet(str(tmp_path / "r"))
+    stream_results(spark, str(tmp_path / "r"), schema, PASSES["extract"], library.store, str(tmp_path / "ck"), "now").awaitTermination()
+    for _ in range(100):
+        if events[-1:] == [None]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert max(e for e in events if e is not None) == 2 and events[-1] is None
