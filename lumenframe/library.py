@@ -112,8 +112,8 @@ class Library:
     def _show(self, config, records, seen, folders) -> LibraryView:
         images = views.library_view(seen, records).orderBy(*views.order("library"))
         listed = self.spark.createDataFrame(folders, "name string, is_manual boolean")
-        excluded = self.spark.createDataFrame([(x,) for x in config.excluded_analysis_folders], "name string")
-        categories = self.spark.createDataFrame([(x,) for x in config.categories], "name string")
+        excluded = views.name_table(self.spark, list(config.excluded_analysis_folders))
+        categories = views.name_table(self.spark, list(config.categories))
         counts = views.folder_counts(images, listed, excluded)
         return LibraryView(self.root, config, images, counts, views.categories_sorted(views.category_counts(images, categories)), views.unclassified_count(images))
 
@@ -203,7 +203,7 @@ class Library:
             self.spark.sparkContext.setJobGroup(self._group(name), f"{name} of {self.root}", True)
             which = passes.PASSES[name]
             view = self.scan()
-            excluded = view.folders.where("excluded").select("name")
+            excluded = list(view.config.excluded_analysis_folders)
             if which.needs_folder:
                 message = passes.folder_gate(not view.folders.isEmpty(), not view.folders.where("not excluded").isEmpty())
                 if message:
@@ -267,7 +267,7 @@ class Library:
 
     def _skips(self) -> DataFrame:
         view = self.scan()
-        return passes.skip_counts(view.images, self.plan(), view.folders.where("excluded").select("name"), view.config.nsfw_score_threshold)
+        return passes.skip_counts(view.images, self.plan(), list(view.config.excluded_analysis_folders), view.config.nsfw_score_threshold)
 
     # --- video plans ---
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import SCORE_THRESHOLD
 from ..functions.numbers import float_threshold
 from .reconcile import merge_columns
+from .views import outside
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,12 @@ QUEUE = ("nsfw", "chunk", "text", "extract", "vision")
 SCHEDULED = ("nsfw", "text", "extract")
 
 
-def pending(view: DataFrame, which: Pass, excluded: DataFrame, force: bool = False, threshold: float = SCORE_THRESHOLD) -> DataFrame:
+def pending(view: DataFrame, which: Pass, excluded: list[str] | DataFrame, force: bool = False, threshold: float = SCORE_THRESHOLD) -> DataFrame:
     """Files of folders that aren't excluded for which the pass has to run; a file without record is pending.
 
     The folder filter comes first, being cheap and below anything a model does.
     """
-    rows = view.join(excluded.select(F.col("name").alias("source_folder")), "source_folder", "left_anti")
+    rows = outside(view, "source_folder", excluded)
     below = F.col("nsfw_score") < float_threshold(threshold)
     if which.explicit == "not_explicit":
         rows = rows.where(F.coalesce(below, F.lit(True)))
@@ -73,14 +74,14 @@ def with_unsampled(view: DataFrame, plan: DataFrame | None) -> DataFrame:
     return view.join(marks, "hash", "left").withColumn("unsampled", F.coalesce("_unsampled", F.lit(False))).drop("_unsampled")
 
 
-def skip_counts(view: DataFrame, plan: DataFrame | None, excluded: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
+def skip_counts(view: DataFrame, plan: DataFrame | None, excluded: list[str] | DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
     """(reason, n): each file of an included folder counts once, described already or not."""
-    rows = view.join(excluded.select(F.col("name").alias("source_folder")), "source_folder", "left_anti")
+    rows = outside(view, "source_folder", excluded)
     rows = with_unsampled(rows, plan).select(skip_reason(threshold).alias("reason"))
     return rows.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def vision_eligible(view: DataFrame, plan: DataFrame | None, excluded: DataFrame, force: bool = False, threshold: float = SCORE_THRESHOLD) -> DataFrame:
+def vision_eligible(view: DataFrame, plan: DataFrame | None, excluded: list[str] | DataFrame, force: bool = False, threshold: float = SCORE_THRESHOLD) -> DataFrame:
     """Files to describe: scored below the threshold, of included folders, sampled if of a video."""
     rows = with_unsampled(view, plan).where(~F.col("unsampled")).drop("unsampled")
     return pending(rows, PASSES["vision"], excluded, force, threshold)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ROOT
@@ -11,6 +11,18 @@ from ..functions.text import matches_search, natural_key
 CARRIED = ("category", "classified_by", "classified_at", "ocr_word_count", "ocr_text_area_ratio", "ocr_text_chars", "nsfw_score", "nsfw_labels", "video_title", "vision_desc_chars")
 
 
+def name_table(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(name) of a short list, of a size the planner knows, so that joins with it needn't shuffle the other side."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in names]).cast("array<string>")).alias("name"))
+
+
+def outside(rows: DataFrame, column: str, excluded: list[str] | DataFrame) -> DataFrame:
+    """Rows whose column isn't among the excluded names: a filter for a list, an anti join for a table."""
+    if isinstance(excluded, DataFrame):
+        return rows.join(excluded.select(F.col("name").alias(column)), column, "left_anti")
+    return rows.where(F.col(column).isNull() | ~F.col(column).isin(*excluded)) if excluded else rows  # a form that scans take
+
+
 def library_view(files: DataFrame, records: DataFrame) -> DataFrame:
     """Every file with its record's columns, null where it has none; an empty video title shows as null."""
     carried = [c for c in CARRIED if c in records.columns]

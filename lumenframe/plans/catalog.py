@@ -267,7 +267,7 @@ def classification_gates(spark, d):
 
 
 def _pending(name):
-    return lambda spark, d: passes.pending(_view_raw(spark, d), passes.PASSES[name], V.names(spark, V.EXCLUDED)).select("hash", "relative_path")
+    return lambda spark, d: passes.pending(_view_raw(spark, d), passes.PASSES[name], list(V.EXCLUDED)).select("hash", "relative_path")
 
 
 PENDING_VIEWS = (V.FILES_SQL, V.RECORDS_SQL, EXCLUDED_SQL)
@@ -310,12 +310,12 @@ def _plan(spark, d):
     (*PENDING_VIEWS, RAW_LIB_SQL, VIDEO_SQL),
 )
 def skip_reasons(spark, d):
-    return passes.skip_counts(_view_raw(spark, d), _plan(spark, d), V.names(spark, V.EXCLUDED))
+    return passes.skip_counts(_view_raw(spark, d), _plan(spark, d), list(V.EXCLUDED))
 
 
 @query("SELECT hash, relative_path FROM eligible WHERE NOT unsampled AND nsfw_score < CAST(0.45 AS FLOAT) AND vision_desc_chars IS NULL", (*PENDING_VIEWS, RAW_LIB_SQL, VIDEO_SQL))
 def vision_eligible(spark, d):
-    return passes.vision_eligible(_view_raw(spark, d), _plan(spark, d), V.names(spark, V.EXCLUDED)).select("hash", "relative_path")
+    return passes.vision_eligible(_view_raw(spark, d), _plan(spark, d), list(V.EXCLUDED)).select("hash", "relative_path")
 
 
 @query("SELECT last_known_path AS relative_path, hash FROM records WHERE vision_desc_chars IS NOT NULL AND last_known_path <> ''", (V.RECORDS_SQL,))

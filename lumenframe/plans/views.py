@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.views import name_table
 from ..session import prepare
 
 
@@ -42,14 +43,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     so that every rule and every pending state occurs.
     """
     d = read(spark, sf_dir, "documents")
-    first = d.groupBy(F.md5("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.max("n_chars").alias("size"), F.max("source").alias("source"))
-    words = d.select("doc_id", F.size(F.filter(F.split("text", r"[ \n\t\r\f\x0b]+"), lambda x: x != "")).alias("words"))
+    words = F.size(F.filter(F.split("text", r"[ \n\t\r\f\x0b]+"), lambda x: x != ""))
+    # One scan and one shuffle of a few numbers a document; the text itself isn't shuffled.
+    docs = d.select(F.md5("text").alias("hash"), "doc_id", "n_chars", "source", words.alias("words"))
+    first = docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("n_chars").alias("size"), F.max("source").alias("source"), F.min_by("words", "doc_id").alias("words"))
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
     n = F.col("doc_id")
     counted = n % 10 != 9
     words_small = (F.col("words") % 71).cast("int")
     area = (F.col("words") % 11).cast("float") / F.lit(100.0).cast("float")
-    rows = first.join(words, "doc_id").join(labels, "doc_id", "left")
+    rows = first.join(labels, "doc_id", "left")
     manual = n % 17 == 0
     auto_nsfw = n % 13 == 0
     return rows.select(
@@ -92,7 +95,7 @@ CATEGORIES = ("Cat0", "Cat1", "Explicit", "Low Text", "High Text", "Unused")
 
 
 def names(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in values], "name string")
+    return name_table(spark, list(values))
 
 
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
