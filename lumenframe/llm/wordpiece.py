@@ -126,7 +126,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, most=4 << 20):
                 automaton = automaton_of(tokenizer_file)
                 bounds, flat = split(part.column("text"), lower=True)
                 coded = flat.dictionary_encode()

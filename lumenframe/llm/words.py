@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Text bytes handled together; one longer text is handled alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python, so that neither side holds tens of megabytes a task.
 BATCH_BYTES = 4 << 20
 
