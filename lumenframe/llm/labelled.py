@@ -22,7 +22,7 @@ def held_out(modulus: int, held: int, id_col: str = "doc_id") -> Column:
     return F.coalesce(remainder(modulus, id_col) == held, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, encode: Callable[[DataFrame], DataFrame]) -> tuple[list[bytes], np.ndarray, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, encode: Callable[[DataFrame], DataFrame]) -> tuple[list[bytearray], np.ndarray, float]:
     """(encoded texts, labels 0 / 1, log odds to add for the true class shares) of a bounded training sample.
 
     At most ``per_class`` labelled rows of each class, by a hash of their ids, none of them held out;
@@ -42,7 +42,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     y = np.array([mark[r.doc_id] for r in found], np.int64)
     ones, zeros = int(y.sum()), int((1 - y).sum())
     shift = np.log((share.get(1, 0) + 0.5) / (share.get(0, 0) + 0.5)) - np.log((ones + 0.5) / (zeros + 0.5))
-    return [bytes(r.encoded) for r in found], y, float(shift)
+    return [r.encoded for r in found], y, float(shift)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

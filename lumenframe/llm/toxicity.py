@@ -23,7 +23,7 @@ from .words import blocks, map_texts, mix, span_hashes
 BITS = 20
 STEMS = (4, 5, 6)
 #: Labelled rows of each class that training takes at most.
-PER_CLASS = 3000
+PER_CLASS = 2000
 THRESHOLD = 0.3
 
 
