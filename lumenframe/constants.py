@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Names:
+    """Files and folders that a library keeps in its root; libraries that exist already have a prefix of their own."""
+
+    prefix: str = ".media-library"
+
+    @property
+    def state(self) -> str:
+        return f"{self.prefix}.json"
+
+    @property
+    def plan(self) -> str:
+        return f"{self.prefix}-chunks.json"
+
+    @property
+    def texts(self) -> str:
+        return f"{self.prefix}-ocr-text"
+
+    @property
+    def thumbnails(self) -> str:
+        return f"{self.prefix}-thumbnails"
+
+    @property
+    def descriptions(self) -> str:
+        return f"{self.prefix}-descriptions"
+
+
 # Extensions, limits, thresholds and names of the library format.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "tif", "heic", "heif")
-STATE_FILE = ".image-categorizer.json"
-PLAN_FILE = ".image-categorizer-chunks.json"
-OCR_TEXT_DIR = ".image-categorizer-ocr-text"
-THUMBNAIL_DIR = ".image-categorizer-thumbnails"
-DESCRIPTION_DIR = ".image-categorizer-descriptions"
 INDEX_FILE = "index.json"
 MAX_SCAN_DEPTH = 4
 MAX_IMPORT_DEPTH = 8

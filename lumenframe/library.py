@@ -62,22 +62,22 @@ _RUNNING: set[tuple[str, str]] = set()
 class Library:
     """One library; ``root`` is mounted on all executors, ``state`` may be in any store (by default below the root)."""
 
-    def __init__(self, spark: SparkSession, root: str, state: str | None = None, legacy_hash: bool = False, clock: Callable[[], str] = now_iso):
+    def __init__(self, spark: SparkSession, root: str, state: str | None = None, legacy_hash: bool = False, clock: Callable[[], str] = now_iso, names: C.Names = C.Names()):
         if not os.path.isdir(root):
             raise ValueError("Root folder does not exist.")
-        self.spark, self.root, self.legacy, self.now = spark, os.path.abspath(root), legacy_hash, clock
+        self.spark, self.root, self.legacy, self.now, self.names = spark, os.path.abspath(root), legacy_hash, clock, names
         self.store = sinks.RecordStore(spark, state or f"file://{self.root}/.lumenframe")
 
     # --- scanning ---
 
     def adopt(self) -> documents.Config:
         """Takes over the state document in the root; a corrupt one raises and changes nothing."""
-        config, records = documents.read_library_state(self.spark, self.root)
+        config, records = documents.read_library_state(self.spark, self.root, self.names)
         return self.store.commit(lambda c, r: (config, records))[0]
 
     def export(self) -> str:
         """Writes the state document and returns its path."""
-        path = f"{self.root}/{C.STATE_FILE}"
+        path = f"{self.root}/{self.names.state}"
         sinks.export_state(*self.store.read(), path)
         return path
 
@@ -253,7 +253,7 @@ class Library:
             asked.append(found)
             rows = found.where("description is not null").join(todo.select("hash", "relative_path", "name"), "hash").join(titles, "hash", "left")
             written = sinks.description_documents(rows, model, self.now())
-            sinks.write_descriptions(written, self.root)
+            sinks.write_descriptions(written, self.root, self.names)
             return written.select("hash", "vision_desc_chars")
 
         skipped = {r.reason: r.n for r in self._skips().collect()}
@@ -272,7 +272,7 @@ class Library:
     # --- video plans ---
 
     def plan(self) -> DataFrame | None:
-        return documents.read_plan(self.spark, documents.plan_path(self.root))
+        return documents.read_plan(self.spark, documents.plan_path(self.root, self.names))
 
     def rebuild_plan(self, force: bool = False, samples: int = C.SAMPLES_PER_GROUP) -> DataFrame | None:
         """Groups the titled records anew; what was selected stays, unless forced.  No titles, no plan."""
@@ -281,16 +281,16 @@ class Library:
             self.discard_plan()
             return None
         plan = videos.plan_ordered(videos.build_plan(titled, samples, self.plan(), force))
-        sinks.export_plan(plan, documents.plan_path(self.root), samples, self.now())
+        sinks.export_plan(plan, documents.plan_path(self.root, self.names), samples, self.now())
         return self.plan()
 
     def discard_plan(self) -> None:
-        Path(documents.plan_path(self.root)).unlink(missing_ok=True)
+        Path(documents.plan_path(self.root, self.names)).unlink(missing_ok=True)
 
     def write_index(self) -> str:
-        path = f"{self.root}/{C.DESCRIPTION_DIR}/{C.INDEX_FILE}"
+        path = f"{self.root}/{self.names.descriptions}/{C.INDEX_FILE}"
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        sinks.export_index(videos.description_index(self.store.read()[1]), path, self.now())
+        sinks.export_index(videos.description_index(self.store.read()[1]), path, self.now(), self.names)
         return path
 
     # --- files ---

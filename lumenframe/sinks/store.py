@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DESCRIPTION_DIR, DESCRIPTION_SCHEMA, OCR_TEXT_DIR, PROMPT_VERSION
+from ..constants import DESCRIPTION_SCHEMA, PROMPT_VERSION, Names
 from ..schema import RECORD_COLUMNS, RECORDS, camel, struct
 from ..sources.documents import Config
 
@@ -123,11 +123,11 @@ def export_plan(plan: DataFrame, path: str, samples: int, now: str) -> None:
     _replace(path, write)
 
 
-def export_index(index: DataFrame, path: str, now: str) -> None:
+def export_index(index: DataFrame, path: str, now: str, names: Names = Names()) -> None:
     """One document that maps relative paths to hashes."""
 
     def write(f) -> None:
-        f.write(json.dumps({"version": 1, "generatedAt": now, "descriptionDir": DESCRIPTION_DIR})[:-1] + ', "byPath": {')
+        f.write(json.dumps({"version": 1, "generatedAt": now, "descriptionDir": names.descriptions})[:-1] + ', "byPath": {')
         for i, r in enumerate(index.toLocalIterator()):
             f.write((",\n" if i else "\n") + json.dumps(r.relative_path) + ": " + json.dumps(r.hash))
         f.write("\n}}")
@@ -135,9 +135,9 @@ def export_index(index: DataFrame, path: str, now: str) -> None:
     _replace(path, write)
 
 
-def write_texts(texts: DataFrame, root: str, folder: str = OCR_TEXT_DIR) -> None:
+def write_texts(texts: DataFrame, root: str, names: Names = Names()) -> None:
     """A file ``<hash>.txt`` a row of (hash, text); each hash is written by one task, under a temporary name first."""
-    target = f"{root.rstrip('/')}/{folder}"
+    target = f"{root.rstrip('/')}/{names.texts}"
     os.makedirs(target, exist_ok=True)
 
     def run(rows) -> None:
@@ -153,9 +153,9 @@ def description_documents(described: DataFrame, model: str, now: str) -> DataFra
     return described.select("hash", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"), "description", F.length("description").cast("int").alias("vision_desc_chars"))
 
 
-def write_descriptions(documents: DataFrame, root: str) -> None:
+def write_descriptions(documents: DataFrame, root: str, names: Names = Names()) -> None:
     """``<hash>.json`` and ``<hash>.txt`` of each description."""
-    target = f"{root.rstrip('/')}/{DESCRIPTION_DIR}"
+    target = f"{root.rstrip('/')}/{names.descriptions}"
     os.makedirs(target, exist_ok=True)
 
     def run(rows) -> None:
@@ -166,9 +166,9 @@ def write_descriptions(documents: DataFrame, root: str) -> None:
     documents.dropDuplicates(["hash"]).foreachPartition(run)
 
 
-def write_thumbnails(files: DataFrame, root: str, shrink: Callable[[str, str], None], folder: str) -> DataFrame:
+def write_thumbnails(files: DataFrame, root: str, shrink: Callable[[str, str], None], names: Names = Names()) -> DataFrame:
     """(hash, thumbnail): ``shrink(source, target)`` once a hash without a file yet; null where it fails."""
-    target = f"{root.rstrip('/')}/{folder}"
+    target = f"{root.rstrip('/')}/{names.thumbnails}"
     os.makedirs(target, exist_ok=True)
 
     def run(frames):

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import AREA_THRESHOLD, PLAN_FILE, SCORE_THRESHOLD, STATE_FILE, WORD_THRESHOLD
+from ..constants import AREA_THRESHOLD, SCORE_THRESHOLD, WORD_THRESHOLD, Names
 from ..functions.paths import check_time
 from ..operators.edits import move_to_front
 from ..operators.passes import SCHEDULED
@@ -111,9 +111,9 @@ def read_state(spark: SparkSession, path: str) -> tuple[Config, DataFrame]:
     return Config.from_json(document.drop("images").first().asDict()), records
 
 
-def read_library_state(spark: SparkSession, root: str) -> tuple[Config, DataFrame]:
+def read_library_state(spark: SparkSession, root: str, names: Names = Names()) -> tuple[Config, DataFrame]:
     """The state in a library's root; an empty one if it has none yet."""
-    path = f"{root.rstrip('/')}/{STATE_FILE}"
+    path = f"{root.rstrip('/')}/{names.state}"
     if not os.path.exists(path):
         return Config(), spark.createDataFrame([], struct(RECORDS))
     return read_state(spark, path)
@@ -127,8 +127,8 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame | None:
     return groups.select(F.col("g.title").alias("title"), F.col("g.memberHashes").alias("member_hashes"), F.col("g.selectedHashes").alias("selected_hashes"))
 
 
-def plan_path(root: str) -> str:
-    return f"{root.rstrip('/')}/{PLAN_FILE}"
+def plan_path(root: str, names: Names = Names()) -> str:
+    return f"{root.rstrip('/')}/{names.plan}"
 
 
 def no_plan(spark: SparkSession) -> DataFrame:

@@ -203,14 +203,14 @@ def test_scheduled_refresh(library, spark, tmp_path):
 
 def test_text_and_description_files(spark, tmp_path):
     sinks.write_texts(spark.createDataFrame([("h1", "line"), ("h1", "line"), ("h2", None)], "hash string, text string"), str(tmp_path))
-    assert (tmp_path / ".image-categorizer-ocr-text/h1.txt").read_text() == "line"
+    assert (tmp_path / ".media-library-ocr-text/h1.txt").read_text() == "line"
     rows = spark.createDataFrame([("h", "a/b.png", "b.png", "", "Größe")], "hash string, relative_path string, name string, video_title string, description string")
     docs = sinks.description_documents(rows, "m", "now")
     assert docs.first().vision_desc_chars == 5
     sinks.write_descriptions(docs, str(tmp_path))
-    stored = json.loads((tmp_path / ".image-categorizer-descriptions/h.json").read_text())
+    stored = json.loads((tmp_path / ".media-library-descriptions/h.json").read_text())
     assert stored == {"schemaVersion": 1, "hash": "h", "relativePath": "a/b.png", "name": "b.png", "videoTitle": None, "description": "Größe", "model": "m", "promptVersion": 1, "analyzedAt": "now"}
-    made = sinks.write_thumbnails(spark.createDataFrame([("h", "x"), ("h", "x"), ("bad", "y")], "hash string, absolute_path string"), str(tmp_path), lambda s, t: Path(t).write_text(s) if s == "x" else 1 / 0, ".thumbs")
+    made = sinks.write_thumbnails(spark.createDataFrame([("h", "x"), ("h", "x"), ("bad", "y")], "hash string, absolute_path string"), str(tmp_path), lambda s, t: Path(t).write_text(s) if s == "x" else 1 / 0)
     assert {r.hash: bool(r.thumbnail) for r in made.collect()} == {"h": True, "bad": False}
 
 
@@ -227,7 +227,7 @@ def test_vision_pass_writes_documents_and_says_what_it_skipped(library):
     assert library.run_vision(client, encode, settings, "p") == "Nothing to describe. Skipped: 6 not yet Explicit-analyzed (run Explicit first)."
     library.run_pass("nsfw", low)
     assert library.run_vision(client, encode, settings, "p") == "Described 3 images. 1 failed (see logs; endpoint http://localhost:1234/v1/chat/completions)."
-    stored = list(Path(library.root, ".image-categorizer-descriptions").glob("*.txt"))
+    stored = list(Path(library.root, ".media-library-descriptions").glob("*.txt"))
     assert len(stored) == 3 and stored[0].read_text() == "a beach"
     assert library.run_vision(client, lambda p: b"jpeg", settings, "p") == "Described 1 image."
     assert library.run_vision(client, encode, settings, "p") == "Nothing to describe. Skipped: 1 explicit."
