@@ -66,6 +66,7 @@ class Library:
         if not os.path.isdir(root):
             raise ValueError("Root folder does not exist.")
         self.spark, self.root, self.legacy, self.now, self.names = spark, os.path.abspath(root), legacy_hash, clock, names
+        self._scans: list[str] = []
         self.store = sinks.RecordStore(spark, state or f"file://{self.root}/.lumenframe")
 
     # --- scanning ---
@@ -98,6 +99,10 @@ class Library:
         seen = files.hash_files(reconcile.reuse_hashes(found, reconcile.hash_index(records)), self.legacy)
         shared = f"{self.store.folder}/files-{self.now().replace(':', '')}"
         seen.write.mode("overwrite").parquet(shared)  # what was found is read once, however often it is used
+        self._scans.append(shared)
+        for old in self._scans[:-3]:  # views of the last scans stay readable
+            self.store.remove(old)
+        del self._scans[:-3]
         seen = self.spark.read.parquet(shared)
 
         def change(config, records):
@@ -228,6 +233,7 @@ class Library:
             if name == "chunk":
                 self.rebuild_plan()
             n = results.where(F.col(which.marker).isNotNull()).count()
+            self.store.remove(path)
             return f"{n} analyzed."
         finally:
             _RUNNING.discard(key)
@@ -244,6 +250,7 @@ class Library:
         """Describes eligible images, writes their documents and the index, and says how many failed or were skipped."""
         model, endpoint = settings.vision_model.strip() or C.DESCRIBE_MODEL, settings.vision_endpoint.strip() or C.DESCRIBE_ENDPOINT
         asked: list[DataFrame] = []
+        paths_used: list[str] = []
 
         def enrich(todo: DataFrame) -> DataFrame:
             titles = self.store.read()[1].select("hash", "video_title")
@@ -251,6 +258,7 @@ class Library:
             models.described(todo, make_client, encode, model, prompt).write.mode("overwrite").parquet(path)  # asked once
             found = self.spark.read.parquet(path)
             asked.append(found)
+            paths_used.append(path)
             rows = found.where("description is not null").join(todo.select("hash", "relative_path", "name"), "hash").join(titles, "hash", "left")
             written = sinks.description_documents(rows, model, self.now())
             sinks.write_descriptions(written, self.root, self.names)
@@ -263,6 +271,8 @@ class Library:
         if not total:
             return text.skip_notes(skipped.get("unscored", 0), skipped.get("explicit", 0), skipped.get("video", 0))
         failures = asked[0].where("description is null").count()
+        for path in paths_used:
+            self.store.remove(path)
         return text.described_summary(total - failures, failures, endpoint)
 
     def _skips(self) -> DataFrame:

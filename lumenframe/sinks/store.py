@@ -75,10 +75,14 @@ class RecordStore:
             past = [*before.get("past", []), *([before["version"]] if "version" in before else [])]
             self._point({"version": version, "config": config.to_json(), "past": past[-self.keep :]})
             for old in past[: -self.keep]:
-                fs, path = self._fs(f"{self.folder}/{old}")
-                fs.delete(path, True)
+                self.remove(f"{self.folder}/{old}")
             return self.read()
 
+    def remove(self, path: str) -> None:
+        """Deletes a table that nothing reads any more."""
+        fs, hadoop = self._fs(path)
+        fs.delete(hadoop, True)
+
     def configure(self, change: Callable[[Config], Config]) -> Config:
         """Changes the configuration alone; no records are rewritten."""
         with lock(self.folder):
