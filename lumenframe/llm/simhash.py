@@ -134,7 +134,7 @@ def tile_links(fp: np.ndarray, radius: int = RADIUS, step: int = STEP, split_at:
 def _fields(radius: int) -> list[tuple[int, int]]:
     """(shift, mask) of radius + 1 disjoint fields that cover 64 bits."""
     cuts = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, (1 << (b - a)) - 1 if b - a < 64 else -1) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def links(reps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -66,6 +66,16 @@ def test_crowded_fields_are_dealt_out_without_losing_links(spark, tile_rows):
     assert {k: found.get(k, k) for k in want} == want
 
 
+def test_other_radii(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("w%d" % x for x in rng.integers(0, 9, 6)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    fps = [plain(t) for t in texts * 2]
+    for radius in (0, 9):
+        got = {r.doc_id: r.component_id for r in simhash_components(docs, radius).collect()}
+        assert got == classes(list(range(120)), fps, radius)
+
+
 def test_null_ids_repeats_and_empty_table(spark):
     rows = [(5, "a b c d e", "", ""), (5, "a b c d e", "", ""), (None, "a b c d e", "", ""), (None, "q r s t u v", "", ""), (7, "z z", None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
