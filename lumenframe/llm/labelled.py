@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Table
 from .words import blocks, map_texts
 
 
@@ -30,6 +31,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     labels of documents that aren't there count for nothing.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(~held_out(modulus, held) & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    usable = Table(usable.join(there, "doc_id", "left_semi"), "labels").df
     share = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
     mark = {}
     for y in (0, 1):
