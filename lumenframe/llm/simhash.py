@@ -29,6 +29,8 @@ RADIUS = 4
 SHINGLE = 4
 TILE_ROWS = 16384
 STEP = 1024
+#: The column that numbers the rows of an input.
+ROW = "lumenframe_row"
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -224,9 +226,14 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, tile_rows: int = T
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate class, all columns as they are.
+    """The rows of ``docs`` whose doc_id is the smallest of their own near-duplicate class, all columns as they are.
 
-    Rows without doc_id can't be told apart and stay.
+    Each row is judged by its text: of a repeated doc_id only the rows go whose class has a smaller
+    one.  Rows without doc_id, and rows that repeat the smallest doc_id of a class, stay.
     """
-    gone = simhash_components(docs, radius).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(Table(gone, "gone").df, "doc_id", "left_anti").select(docs.columns)
+    numbered = Table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered").df
+    classes = simhash_components(numbered.select(F.col(ROW).alias("doc_id"), "text"), radius).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("class"))
+    placed = Table(classes.join(numbered.select(ROW, F.col("doc_id").cast("long").alias("id")), ROW), "placed").df
+    least = placed.groupBy("class").agg(F.min("id").alias("least"))
+    gone = placed.join(Table(least, "least").df, "class").where(F.col("id") != F.col("least")).select(ROW)
+    return numbered.join(Table(gone, "gone").df, ROW, "left_anti").select(docs.columns)

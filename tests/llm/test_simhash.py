@@ -83,3 +83,9 @@ def test_null_ids_repeats_and_empty_table(spark):
     assert got == [("5", "5"), ("5", "5"), ("7", "7"), ("None", "5"), ("None", "None")]
     assert sorted(str(r.doc_id) for r in keep_one(docs).collect()) == ["5", "5", "7", "None", "None"]
     assert simhash_components(docs.limit(0)).collect() == []
+
+
+def test_a_repeated_id_is_judged_by_each_text(spark):
+    rows = [(3, "a b c d e"), (5, "a b c d e"), (5, "v w x y z"), (9, "v w x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, keep_one(docs).collect())) == [rows[0], rows[2]]
