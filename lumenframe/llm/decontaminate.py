@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .simhash import ROW
 from .storage import Table
 from .words import blocks, buffers, map_texts, mix, span_hashes
 
@@ -161,12 +162,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     Null, empty and wordless texts have no words and no hits; wordless items never match; an item
     without id hits words but isn't listed; repeated rows are each judged; no documents give no rows.
     """
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("id"), "text")
+    return _verdicts(rows, items, window, gram, share).drop("uid")
+
+
+def _verdicts(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, share: int = 20) -> DataFrame:
+    """The columns of ``contamination`` and the uid of each row of ``rows(uid, id, text)``."""
     items = items.select(F.lit(0).cast("long").alias("uid"), F.col("item_id").cast("long").alias("id"), "text")
     own = scan(items, None, None, gram, window).select(F.col("id").alias("item_id"), F.explode("prints").alias("p")).select("item_id", "p.*")
     own = Table(own.distinct(), "items").df
     lengths = sorted(r[0] for r in own.select("length").distinct().collect())  # 1 .. window
     bits = bit_filter(own)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("id"), "text")
     seen = Table(scan(rows, lengths, bits, gram, window), "prints").df
     found = seen.where(F.size("prints") > 0).select("uid", F.explode("prints").alias("p")).select("uid", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).alias("salt"), "p.*")
     copies = own.select("item_id", "fp", "length", "mid", F.col("before").alias("item_before"), F.col("after").alias("item_after"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
@@ -180,8 +186,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     out = seen.select("uid", F.col("id").alias("doc_id"), "n_words").join(each, "uid", "left")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"]), F.lit(0).cast("long"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
+    out = out.select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
+    return out.select("uid", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
 
 
 def _join_range(done, x):
@@ -192,7 +198,9 @@ def _join_range(done, x):
     return F.when(apart, F.concat(done, F.array(F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))).otherwise(wider)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id has a contaminated text; rows without doc_id stay."""
-    gone = contamination(docs, items).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(Table(gone, "contaminated").df, "doc_id", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, keep_without_id: bool = True) -> DataFrame:
+    """``docs`` without the rows whose own text is contaminated; those without doc_id stay unless ``keep_without_id`` is false."""
+    numbered = Table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered").df
+    gone = _verdicts(numbered.select(F.col(ROW).alias("uid"), F.col("doc_id").cast("long").alias("id"), "text"), items).where("contaminated")
+    gone = gone.where("doc_id is not null") if keep_without_id else gone
+    return numbered.join(Table(gone.select(F.col("uid").alias(ROW)), "contaminated").df, ROW, "left_anti").select(docs.columns)

@@ -76,3 +76,11 @@ def test_every_window_keeps_a_fingerprint(one, two, length):
     for lo, hi in ((0, len(one)), (len(one), len(hashes))):
         for i in range(lo, hi - length + 1):
             assert any(i <= p and p + k <= i + length for p in at)
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "clean text"), (None, "a b c"), (None, "clean too"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    left = lambda **k: sorted(str(r.text) for r in drop_contaminated(docs, items, **k).collect())
+    assert left() == ["None", "a b c", "clean text", "clean too"]
+    assert left(keep_without_id=False) == ["None", "clean text", "clean too"]
