@@ -65,7 +65,7 @@ class CoverTree:
         at = 0
         while at < len(nodes):
             lo, hi, _, radius = nodes[at]
-            rows, parts = order[lo:hi], None
+            rows, parts = order[lo:hi].copy(), None  # order is permuted below
             while hi - lo > LEAF and radius > 1e-3 and parts is None:
                 radius /= 2  # halving radii; levels that don't split the node are skipped
                 found = net(x[rows], radius, max(2, (hi - lo) // 2))

@@ -64,3 +64,18 @@ def test_ids_may_be_null_or_repeat(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_components(table).collect()), key=str)
     assert got == sorted([(7, 1, 7, True), (None, 1, 7, False), (7, 1, 7, True), (7, 1, 7, True), (None, 0, None, False), (3, 0, 3, True)], key=str)
     assert embedding_components(table.limit(0)).collect() == []
+
+
+def test_centres_lie_in_their_nodes_within_the_nets_radius():
+    rng = np.random.default_rng(8)
+    x = unit(np.repeat(rng.standard_normal((12, 6)), 60, axis=0) + 0.05 * rng.standard_normal((720, 6)))
+    tree = CoverTree.build(x)
+    assert len(tree.lo) > 12
+    for k in range(1, len(tree.lo)):
+        inside = tree.vectors[tree.lo[k] : tree.hi[k]]
+        assert (inside == tree.centre[k]).all(axis=1).any()
+    for k in np.flatnonzero(tree.last > tree.first):
+        children = np.arange(tree.first[k], tree.last[k])
+        centres = tree.centre[children]
+        apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))[np.triu_indices(len(children), 1)]
+        assert tree.radius[children].max() < apart.min()
