@@ -15,7 +15,7 @@ from .storage import Table
 
 #: Copies of the intervals, among which the captures of a very frequent host are dealt.
 SALTS = 32
-#: A longer host is no host name, and has no patterns.
+#: A longer host is no host name, and has no patterns, not even those of its parent domains.
 HOST_CHARS = 253
 
 
@@ -44,7 +44,8 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
     An addition of what is on the list and a removal of what isn't change nothing; an addition and a
     removal on one day leave the pattern on the list.  Entries with a null or an action other than
-    ``add`` and ``remove`` are ignored; patterns match in lower case up to their first slash.
+    ``add`` and ``remove`` are ignored; patterns match in lower case up to their first slash.  A pattern
+    with more than one path segment (host/a/b) matches no URL.
     """
     slash = F.instr("pattern", "/")
     key = F.when(slash == 0, F.lower("pattern")).otherwise(F.concat(F.lower(F.expr("substring(pattern, 1, instr(pattern, '/') - 1)")), F.expr("substring(pattern, instr(pattern, '/'))")))
