@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import Table
+from .storage import Table, join_keyed
 from .words import blocks, buffers, map_texts, split
 
 SEED = 42
@@ -215,13 +215,14 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, tile_rows: int = T
     no row of that class has an id).  An empty table gives no rows; other columns are ignored.
     """
     marked = Table(fingerprints(docs), "fingerprints").df
-    reps = Table(marked.groupBy("fp").agg(F.min("id").alias("id")), "reps").df
-    # Fingerprints that only null ids have get an own negative-side key so that they still link.
-    keyed = reps.select("fp", "id", F.coalesce("id", F.lit(2**62) + F.pmod(F.xxhash64("fp"), F.lit(2**61))).alias("node"))
-    found = connected_components(links(keyed.select("fp", F.col("node").alias("id")), radius, tile_rows))
-    classes = keyed.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    classes = Table(classes.select("fp", F.when(F.col("c") < 2**62, F.col("c")).alias("component_id")), "classes").df
-    out = marked.join(classes, "fp", "left")
+    reps = Table(marked.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "reps").df
+    # A fingerprint is its own node, so that ids may have any value, repeat or be null.
+    found = connected_components(links(reps.select("fp", F.col("fp").alias("id")), radius, tile_rows))
+    classes = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", "n", F.coalesce("component", "fp").alias("class"))
+    classes = Table(classes, "classes").df
+    least = classes.groupBy("class").agg(F.min("id").alias("component_id"))
+    classes = Table(classes.join(least, "class").select("fp", "n", "component_id"), "named").df
+    out = join_keyed(marked, classes, "fp")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -229,7 +230,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their own near-duplicate class, all columns as they are.
 
     Each row is judged by its text: of a repeated doc_id only the rows go whose class has a smaller
-    one.  Rows without doc_id, and rows that repeat the smallest doc_id of a class, stay.
+    one.  Rows without doc_id, and rows that repeat the smallest doc_id of a class, stay.  Null and
+    empty texts are one class; an empty table gives an empty table.
     """
     numbered = Table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered").df
     classes = simhash_components(numbered.select(F.col(ROW).alias("doc_id"), "text"), radius).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("class"))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with over a HOT-th of all rows is hot; there are fewer than HOT of them.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a temporary folder if all runs in one process, or an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -44,3 +51,15 @@ class Table:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_keyed(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``values(key, n, ...)``, n being how many rows have the key.
+
+    Rows of hot keys take their values from a broadcast of fewer than HOT rows; the others are
+    shuffled, none of whose keys has more than a HOT-th of all rows.
+    """
+    most = rows.count() // HOT
+    hot = F.broadcast(values.where(F.col("n") > most).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col("n") <= most).drop("n"), key, "left")
+    return rest.unionByName(rows.join(hot, key))

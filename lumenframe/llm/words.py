@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,9 +17,13 @@ BATCH_BYTES = 4 << 20
 
 
 def map_texts(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` over rows that may be long: the session's batches are bounded by bytes, not by rows alone."""
+    """``mapInArrow`` over rows that may be long: the session's batches are bounded by bytes, not by rows alone.
+
+    A session whose bound is larger gets BATCH_BYTES and keeps it, since the plan reads it only when it runs.
+    """
     conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match(r"\d+", conf.get(key))[0]) > BATCH_BYTES:
+    most = frame.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
+    if most > BATCH_BYTES or most <= 0:
         conf.set(key, str(BATCH_BYTES))
     return frame.mapInArrow(run, schema)
 

@@ -8,8 +8,7 @@ from lumenframe.llm import pieces, quality, queries, toxicity
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from test_decontaminate import plain as hits  # noqa: E402
-from test_simhash import classes  # noqa: E402
-from test_simhash import plain as fingerprint  # noqa: E402
+from test_nearcopies import plain as near_copies  # noqa: E402
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -28,7 +27,7 @@ def test_stages_against_brute_force(spark, sf_dir):
             scores = toxicity.sigmoid(toxicity.train_toxicity(kept, labels).margins(pa.array([before[i] for i in ids], pa.string())))
             want = {i for i, s in zip(ids, scores, strict=True) if s < 0.3}
         elif name == "near_duplicates":
-            want = set(classes(ids, [fingerprint(before[i]) for i in ids]).values())
+            want = {ids[k] for k in near_copies([before[i] for i in ids])}
         else:
             want = {i for i in ids if not hits(before[i], items)[4]}
         kept = spark.createDataFrame(stage(spark, kept, sf_dir).collect(), docs.schema)

@@ -89,3 +89,11 @@ def test_a_repeated_id_is_judged_by_each_text(spark):
     rows = [(3, "a b c d e"), (5, "a b c d e"), (5, "v w x y z"), (9, "v w x y z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, keep_one(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_ids_of_any_size(spark):
+    rows = [(2**62 + 5, "a b c d e"), (2**63 - 1, "a b c d e"), (-7, "v w x y z"), (2**62, "v w x y z"), (None, "a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash_components(docs).collect()}
+    assert got == {(2**62 + 5, 2**62 + 5), (2**63 - 1, 2**62 + 5), (-7, -7), (2**62, -7), (None, 2**62 + 5)}
+    assert sorted(str(r.doc_id) for r in keep_one(docs).collect()) == sorted(map(str, [2**62 + 5, -7, None]))
