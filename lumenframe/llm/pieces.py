@@ -4,8 +4,13 @@ A text, with one space put before it, is cut before every run of spaces; no piec
 reaches across such a cut, so the lattice of the text is the chain of its segments' lattices and
 sampling segment by segment samples the text.  The forward pass gives every position of every
 distinct segment the log weight of all its segmentations; the backward pass draws, from a segment's
-end to its start, each last piece with its share of that weight.  Draws depend on the row's key, the
-segment's number and the step alone, so a row gets the same pieces in any partition and on any retry.
+end to its start, each last piece with its share of that weight.  The draw of a position depends on the
+row's key and the position alone, so a row gets the same pieces in any partition and on any retry.
+
+A long segment is filtered a chunk at a time and isn't remembered.  The spans of a chunk are filtered
+side by side from guessed weights before them, then again from the weights their predecessors ended
+with, until those stay the same; what was guessed is forgotten within a span, so that two rounds do
+as a rule.  Every position of a chunk draws its last piece at once, and the path is followed back.
 
 A character without a piece goes byte by byte; so does a literal U+2581, which in pieces stands for
 the space.  Decoding joins the pieces' bytes and takes the first space off, and so restores the text.
@@ -14,6 +19,7 @@ the space.  Decoding joins the pieces' bytes and takes the first space off, and
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +38,12 @@ BLOCK = 2 << 20
 #: Bytes of segments that are filtered together, and segments that a worker remembers before it starts anew.
 PART = 256 << 10
 REMEMBERED = 250_000
+REMEMBERED_EDGES = 8 << 20
+#: A segment of more bytes is filtered alone; bytes of a span of it; how far weights before a span may be off.
+LONG = 256
+SPAN = 512
+EXACT = 1e-10
+_GOLD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 / golden ratio
 
 
 class Column:
@@ -56,6 +68,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _choose(first: np.ndarray, last: np.ndarray, share: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The edge that u draws among the edges first .. last of each node, by their shares."""
+    edge, u = first.copy(), u.copy()
+    open_ = np.flatnonzero(edge < last)
+    while len(open_):
+        p = share[edge[open_]]
+        over = u[open_] >= p
+        open_, p = open_[over], p[over]
+        u[open_] -= p
+        edge[open_] += 1
+        open_ = open_[edge[open_] < last[open_]]
+    return edge
+
+
+def _uniform(stream: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each place of a stream."""
+    return (mix(stream + (place + 1).astype(np.uint64) * _GOLD) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 class PieceLattice:
     """The vocabulary of a SentencePiece model as a byte trie with log weights."""
 
@@ -84,18 +115,14 @@ class PieceLattice:
         self.trie = ByteTrie(entries)
         self.ids, self.weights = np.array(ids, np.int64), np.array(weights)
         self.byte_weight = float(self.weights.min())
+        self.longest = max(map(len, entries))
         self.raw_size = np.array([len(x) for x in raw], np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self._forget()
 
-    def lattice(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Forward filter of all segments at once.
-
-        Returns (edges of each node, edge lengths in bytes, edge piece ids, edge probabilities); the nodes
-        are the bytes of ``data``, node k standing for the position after byte k; the edges of a node
-        are the pieces that may come last before it, with their shares of its weight.
-        """
+    def edges(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first edge of each node, and of each edge its last byte, first byte, piece id and log weight), by last byte."""
         size = len(data)
         sizes = np.diff(offsets)
         lead = (data & 0xC0) != 0x80
@@ -131,7 +158,17 @@ class PieceLattice:
         end, start, name, log = (np.concatenate(x) for x in (ends, starts, names, logs))
         order = np.argsort(end, kind="stable")  # a node's edges: shortest piece first, its byte last
         end, start, name, log = end[order], start[order], name[order], log[order]
-        first = np.searchsorted(end, np.arange(size + 1))
+        return np.searchsorted(end, np.arange(size + 1)), end, start, name, log
+
+    def lattice(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward filter of all segments at once.
+
+        Returns (edges of each node, edge lengths in bytes, edge piece ids, edge probabilities); the nodes
+        are the bytes of ``data``, node k standing for the position after byte k; the edges of a node
+        are the pieces that may come last before it, with their shares of its weight.
+        """
+        size, sizes = len(data), np.diff(offsets)
+        first, end, start, name, log = self.edges(offsets, data)
         # Nodes by their distance from their segment's start: all nodes of one distance at once.
         count = np.diff(first)
         depth = np.arange(size) - np.repeat(offsets[:-1], sizes)
@@ -156,6 +193,79 @@ class PieceLattice:
             share[edges] = p / np.repeat(sums, total_k)
         return count, end - start + 1, name, share
 
+    def _chunk(self, data: np.ndarray, lo: int, hi: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first edges, lengths, ids, shares) of the bytes lo .. hi - 1 of one segment, and the weights of its last ``longest`` nodes.
+
+        ``before``: those of the nodes before it; both cuts are between characters.
+        """
+        reach = self.longest
+        back = max(0, lo - reach)
+        while back < lo and data[back] & 0xC0 == 0x80:
+            back += 1
+        _, end, start, name, log = self.edges(np.array([0, hi - back]), data[back:hi])
+        mine = end >= lo - back
+        end, start, name, log = end[mine] - (lo - back), start[mine] - (lo - back), name[mine], log[mine]
+        size = hi - lo
+        first = np.searchsorted(end, np.arange(size + 1))
+        count = np.diff(first)
+        n_spans = -(-size // SPAN)
+        weight = np.full((n_spans, reach + SPAN), -np.inf)
+        share = np.zeros(len(end))
+        used = np.zeros((n_spans, reach))  # a guess: all weights alike
+        used[0] = before
+        todo = np.arange(n_spans)
+        while len(todo):
+            weight[todo, :reach] = used[todo]
+            for t in range(min(SPAN, size)):
+                node = todo * SPAN + t
+                live = node < size
+                live[live] = count[node[live]] > 0
+                node, row = node[live], todo[live]
+                if not len(node):
+                    continue
+                per = count[node]
+                which = ragged(first[node], per)
+                cuts = np.cumsum(per) - per
+                own = np.repeat(row, per)
+                w = log[which] + weight[own, reach + start[which] - 1 - own * SPAN]
+                top = np.maximum.reduceat(w, cuts)
+                p = np.exp(w - np.repeat(top, per))
+                sums = np.add.reduceat(p, cuts)
+                weight[row, reach + t] = top + np.log(sums)
+                share[which] = p / np.repeat(sums, per)
+            ends = weight[:-1, SPAN:]
+            ends = ends - np.max(ends, axis=1, initial=-np.inf, keepdims=True)
+            known = np.isfinite(ends)
+            old = np.where(known, used[1:], -np.inf)
+            old = old - np.max(old, axis=1, initial=-np.inf, keepdims=True)
+            off = np.abs(np.where(known, ends, 0.0) - np.where(known, old, 0.0)).max(axis=1, initial=0.0) > EXACT
+            todo = np.flatnonzero(off) + 1
+            used[todo] = ends[todo - 1]
+        filled = size - (n_spans - 1) * SPAN
+        tail = weight[-1, filled : filled + reach]
+        return first, end - start + 1, name, share.astype(np.float32), tail - np.max(tail)
+
+    def walk(self, data: np.ndarray, stream: np.uint64, place: int) -> np.ndarray:
+        """The sampled piece ids of one segment that begins at byte ``place`` of its text."""
+        lengths, names = np.zeros(len(data), np.uint8), np.zeros(len(data), np.int32)
+        before = np.full(self.longest, -np.inf)
+        before[-1] = 0.0  # the segment's start
+        lo = 0
+        while lo < len(data):
+            hi = min(lo + PART, len(data))
+            while hi < len(data) and data[hi] & 0xC0 == 0x80:
+                hi -= 1
+            first, length, name, share, before = self._chunk(data, lo, hi, before)
+            nodes = np.flatnonzero(np.diff(first))
+            edge = _choose(first[nodes], first[nodes + 1] - 1, share, _uniform(stream, place + lo + nodes))
+            lengths[lo + nodes], names[lo + nodes] = length[edge], name[edge]
+            lo = hi
+        path, node, steps = array("q"), len(data) - 1, lengths.tobytes()
+        while node >= 0:
+            path.append(node)
+            node -= steps[node]
+        return names[np.frombuffer(path, np.int64)[::-1]]
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.low, self.high = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -165,7 +275,7 @@ class PieceLattice:
 
     def _segments(self, strings: pa.Array) -> np.ndarray:
         """The number of each distinct segment among those filtered already; the others are filtered now, a part at a time."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.length.size > REMEMBERED_EDGES:
             self._forget()
         words = strings.to_pylist()
         out = np.array([self.known.get(w, -1) for w in words], np.int64)
@@ -202,40 +312,37 @@ class PieceLattice:
         cut[heads] = True
         bounds = np.concatenate((np.flatnonzero(cut), [len(data)]))
         segments = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
-        coded = segments.dictionary_encode()
-        which = self._segments(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-        first, length, name, share = self.first.values, self.length.values, self.name.values, self.share.values
         per_text = np.searchsorted(bounds[:-1], offsets)
         text_of = np.repeat(np.arange(len(texts)), np.diff(per_text))
-        nth = np.arange(len(which)) - per_text[text_of]
-        stream = mix(mix(keys.astype(np.uint64) ^ np.uint64(seed))[text_of] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        low = self.low[which]
-        node = self.high[which] - 1
-        active = np.arange(len(which))
-        pieces = np.zeros(len(which), np.int64)
-        drawn = []
-        step = 0
+        stream = mix(keys.astype(np.uint64) ^ np.uint64(seed))[text_of]
+        place = bounds[:-1] - offsets[text_of]  # where in its text a segment begins
+        pieces = np.zeros(len(text_of), np.int64)
+        drawn: list[tuple[np.ndarray, np.ndarray]] = []
+        long = np.diff(bounds) > LONG
+        active = np.flatnonzero(~long)
+        if len(active):
+            coded = segments.take(pa.array(active)).dictionary_encode() if long.any() else segments.dictionary_encode()
+            which = self._segments(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            low, node = np.zeros(len(text_of), np.int64), self.high[which] - 1
+            low[active] = self.low[which]
+            first, length, name, share = self.first.values, self.length.values, self.name.values, self.share.values
         while len(active):
-            u = (mix(stream[active] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge, last = first[node].copy(), first[node + 1] - 1
-            open_ = np.flatnonzero(edge < last)
-            while len(open_):
-                p = share[edge[open_]]
-                over = u[open_] >= p
-                open_, p = open_[over], p[over]
-                u[open_] -= p
-                edge[open_] += 1
-                open_ = open_[edge[open_] < last[open_]]
+            u = _uniform(stream[active], place[active] + node - low[active])
+            edge = _choose(first[node], first[node + 1] - 1, share, u)
             drawn.append((active, name[edge]))
             pieces[active] += 1
             node = node - length[edge]
             more = node >= low[active]
             active, node = active[more], node[more]
-            step += 1
+        walked = {int(k): self.walk(data[bounds[k] : bounds[k + 1]], stream[k], int(place[k])) for k in np.flatnonzero(long)}
+        for k, ids in walked.items():
+            pieces[k] = len(ids)
         ends = np.cumsum(pieces)
         out = np.zeros(int(ends[-1]), np.int64)
         for k, (who, ids) in enumerate(drawn):
             out[ends[who] - 1 - k] = ids
+        for k, ids in walked.items():
+            out[ends[k] - len(ids) : ends[k]] = ids
         return out, np.diff(np.concatenate(([0], ends))[per_text])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
