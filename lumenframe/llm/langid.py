@@ -1,14 +1,15 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-Texts are cut into windows of ``WINDOW`` bytes, which run through the network side by side, one
-byte at a time in both directions.  Every byte position gets label probabilities from both hidden
-states; a document's probabilities are the means over all positions of all its windows.  Training is
-plain numpy: backpropagation through time with Adam on the mean cross entropy of positions.
+Every byte position gets label probabilities from the hidden states of both directions; a document's
+probabilities are the means over all its positions.  So that a long text doesn't run alone, byte after
+byte, it is cut into spans of ``INNER`` bytes that run side by side: each is read together with the
+``MARGIN`` bytes before and after it, which bring the states up, and only the span's own positions
+count.  Training is plain numpy: backpropagation through time with Adam on the mean cross entropy of
+positions.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,29 +22,64 @@ from pyspark.sql import functions as F
 from .labelled import held_out, remainder
 from .words import blocks, buffers, map_texts
 
-WINDOW = 64
+INNER = 192
+MARGIN = 32
+#: The same of the spans that training draws.
+TRAIN_INNER = 64
+TRAIN_MARGIN = 16
 HIDDEN = 8
-#: Windows that run side by side: their states fit a core's cache.
-SIDE = 8192
-#: Documents of each language, and windows of each document, that training takes at most.
+#: Spans that run side by side: their states fit a core's cache.
+SIDE = 2048
+#: Rows of each language, bytes of texts, and languages (the most frequent ones) that training takes at most.
 PER_LANGUAGE = 400
-PER_DOCUMENT = 6
-LETTER = re.compile(r"[^\W\d_]")
+TRAIN_BYTES = 16 << 20
+MOST_LANGUAGES = 1024
 
 
-def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes padded to WINDOW a row, real bytes in each row, text of each row) of A-Z-lowered texts."""
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter by its Unicode category; digits, numerals and fractions are none."""
+    return any(map(str.isalpha, text or ""))
+
+
+@dataclass
+class Spans:
+    """Spans as rows of bytes, padded after ``real`` bytes, whose columns ``lo`` to ``hi`` are the span's own; ``owner`` is its text."""
+
+    rows: np.ndarray
+    real: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    owner: np.ndarray
+
+    def take(self, pick: np.ndarray) -> Spans:
+        """Some of the spans, in rows as long as the longest of them."""
+        real = self.real[pick]
+        return Spans(self.rows[pick, : int(real.max(initial=0))], real, self.lo[pick], self.hi[pick], self.owner[pick])
+
+    @property
+    def own(self) -> np.ndarray:
+        """(position, span): whether the position counts."""
+        at = np.arange(self.rows.shape[1])[:, None]
+        return (at >= self.lo) & (at < self.hi)
+
+
+def spans(texts: pa.Array, inner: int = INNER, margin: int = MARGIN) -> Spans:
+    """The spans of A-Z-lowered texts; null and empty texts have none."""
     offsets, data = buffers(pc.ascii_lower(pc.fill_null(texts, "")))
     sizes = np.diff(offsets)
-    per = -(-sizes // WINDOW)
+    per = -(-sizes // inner)
     cuts = np.concatenate(([0], np.cumsum(per)))
     owner = np.repeat(np.arange(len(sizes)), per)
-    nth = np.arange(cuts[-1]) - cuts[owner]
-    real = np.minimum(sizes[owner] - nth * WINDOW, WINDOW)
-    out = np.zeros((int(cuts[-1]), WINDOW), np.uint8)
-    inside = np.arange(WINDOW) < real[:, None]
-    out[inside] = data
-    return out, real, owner
+    begin = (np.arange(cuts[-1]) - cuts[owner]) * inner
+    end = np.minimum(begin + inner, sizes[owner])
+    first, last = np.maximum(begin - margin, 0), np.minimum(end + margin, sizes[owner])
+    real = last - first
+    width = int(real.max(initial=0))
+    at = np.arange(width)
+    inside = at < real[:, None]
+    source = np.minimum((offsets[owner] + first)[:, None] + at, max(len(data) - 1, 0))
+    rows = np.where(inside, data[source] if len(data) else 0, 0).astype(np.uint8)
+    return Spans(rows, real, begin - first, end - first, owner)
 
 
 @dataclass
@@ -64,13 +100,14 @@ class ByteGRU:
         part["o"] = np.zeros(len(labels), np.float32)
         return ByteGRU(labels, part)
 
-    def states(self, rows: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
-        """Hidden states (position, hidden, window) of one direction; ``kept`` gets what backpropagation needs."""
+    def states(self, rows: np.ndarray, real: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
+        """Hidden states (position, hidden, span) of one direction, 0 after a span's end; ``kept`` gets what backpropagation needs."""
         table, u = np.ascontiguousarray(self.part["X" + d].T), self.part["U" + d]
         n, h = u.shape[1], np.zeros((u.shape[1], len(rows)), np.float32)
         out = np.empty((rows.shape[1], n, len(rows)), np.float32)
         steps = range(rows.shape[1]) if d == "f" else range(rows.shape[1] - 1, -1, -1)
         columns = np.ascontiguousarray(rows.T)
+        shortest = int(real.min(initial=rows.shape[1]))
         for t in steps:
             x = np.take(table, columns[t], axis=1)
             v = u @ h
@@ -82,12 +119,14 @@ class ByteGRU:
             if kept is not None:
                 kept.append((t, h, v, z, r, c))
             h = h + z * (c - h)
+            if t >= shortest:
+                h = h * (t < real)
             out[t] = h
         return out
 
-    def probabilities(self, rows: np.ndarray, both: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """(position, label, window) probabilities."""
-        forward, backward = both or (self.states(rows, "f"), self.states(rows, "b"))
+    def probabilities(self, rows: np.ndarray, real: np.ndarray, both: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """(position, label, span) probabilities."""
+        forward, backward = both or (self.states(rows, real, "f"), self.states(rows, real, "b"))
         n = forward.shape[1]
         p = np.matmul(self.part["O"][:, :n], forward)
         p += np.matmul(self.part["O"][:, n:], backward)
@@ -99,65 +138,63 @@ class ByteGRU:
 
     def pooled(self, texts: pa.Array) -> np.ndarray:
         """(text, label): mean probabilities over all byte positions; zeros for an empty text."""
-        rows, real, owner = windows(texts)
+        every = spans(texts)
         total = np.zeros((len(texts), len(self.labels)))
-        for lo in range(0, len(rows), SIDE):
-            part, n, of = rows[lo : lo + SIDE], real[lo : lo + SIDE], owner[lo : lo + SIDE]
-            p = self.probabilities(part)
-            short = np.flatnonzero(n < WINDOW)
-            p[:, :, short] *= (np.arange(WINDOW)[:, None] < n[short])[:, None, :]
+        order = np.argsort(every.real, kind="stable")  # so that short spans run with short ones
+        for k in range(0, len(order), SIDE):
+            part = every.take(order[k : k + SIDE])
+            p = self.probabilities(part.rows, part.real)
+            p *= part.own[:, None, :]
             sums = p.sum(axis=0, dtype=np.float64)
-            for k in range(len(self.labels)):
-                total[:, k] += np.bincount(of, sums[k], len(texts))
+            for label in range(len(self.labels)):
+                total[:, label] += np.bincount(part.owner, sums[label], len(texts))
         size = pc.binary_length(pc.fill_null(texts, "")).to_numpy(zero_copy_only=False)
         return total / np.maximum(size, 1)[:, None]
 
-    def gradient(self, rows: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Backpropagation through time of the mean cross entropy of unmasked positions; mask is (position, window)."""
+    def gradient(self, rows: np.ndarray, real: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Backpropagation through time of the mean cross entropy of unmasked positions; mask is (position, span)."""
         kept = {"f": [], "b": []}
-        both = tuple(self.states(rows, d, kept[d]) for d in "fb")
-        p = self.probabilities(rows, both)
-        scale = mask / mask.sum()
+        both = tuple(self.states(rows, real, d, kept[d]) for d in "fb")
+        p = self.probabilities(rows, real, both)
+        scale = (mask / mask.sum()).astype(np.float32)
         at = np.arange(len(y))
         loss = -float((np.log(p[:, y, at] + 1e-12) * scale).sum())
         p[:, y, at] -= 1
         p *= scale[:, None, :]
         n = both[0].shape[1]
         grad = {"o": p.sum(axis=(0, 2)), "O": np.concatenate([np.einsum("tlw,thw->lh", p, x, optimize=True) for x in both], axis=1)}
-        columns = rows.T
+        columns = np.ascontiguousarray(rows.T)
         for d, o in (("f", self.part["O"][:, :n]), ("b", self.part["O"][:, n:])):
             u = self.part["U" + d]
-            gx, gu, dh = np.zeros_like(self.part["X" + d]), np.zeros_like(u), np.zeros((n, len(rows)), np.float32)
+            gu, dh = np.zeros_like(u), np.zeros((n, len(rows)), np.float32)
+            into = np.zeros((3 * n, *columns.shape), np.float32)
             for t, before, v, z, r, c in reversed(kept[d]):
-                dh = dh + o.T @ p[t]
+                dh = (dh + o.T @ p[t]) * (t < real)
                 dc = dh * z * (1 - c * c)
                 dz = dh * (c - before) * z * (1 - z)
                 dr = dc * v[2 * n :] * r * (1 - r)
-                dx = np.concatenate((dz, dr, dc))
+                into[:, t] = np.concatenate((dz, dr, dc))
                 dv = np.concatenate((dz, dr, dc * r))
-                for k in range(3 * n):
-                    gx[:, k] += np.bincount(columns[t], dx[k], 256)
                 gu += dv @ before.T
                 dh = dh * (1 - z) + u.T @ dv
-            grad["X" + d], grad["U" + d] = gx, gu
+            flat = columns.reshape(-1)
+            grad["X" + d] = np.stack([np.bincount(flat, x.reshape(-1), 256) for x in into], axis=1).astype(np.float32)
+            grad["U" + d] = gu
         return grad, loss
 
 
-def fit_bytes(texts: list[bytes], y: np.ndarray, labels: list[str], steps: int = 240, batch: int = 256, rate: float = 0.02, seed: int = 5) -> ByteGRU:
-    """Adam on windows drawn evenly over languages; ``texts`` are windows of WINDOW bytes at most."""
+def fit_bytes(every: Spans, y: np.ndarray, labels: list[str], steps: int = 240, batch: int = 256, rate: float = 0.02, seed: int = 5) -> ByteGRU:
+    """Adam on spans drawn evenly over languages; ``y`` has the label of each text."""
     model = ByteGRU.fresh(labels, seed)
-    rows = np.zeros((len(texts), WINDOW), np.uint8)
-    real = np.array([len(x) for x in texts])
-    for i, x in enumerate(texts):
-        rows[i, : len(x)] = np.frombuffer(x, np.uint8)
     rng = np.random.default_rng(seed)
-    groups = [np.flatnonzero(y == k) for k in range(len(labels))]
+    of = y[every.owner]
+    groups = [g for g in (np.flatnonzero(of == k) for k in range(len(labels))) if len(g)]
     first = {k: np.zeros_like(v) for k, v in model.part.items()}
     second = {k: np.zeros_like(v) for k, v in model.part.items()}
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(g, -(-batch // len(groups))) for g in groups])
-        mask = (np.arange(WINDOW)[:, None] < real[pick]).astype(np.float32)
-        grad, _ = model.gradient(rows[pick], mask, y[pick])
+        part = every.take(pick)
+        grad, _ = model.gradient(part.rows, part.real, part.own, of[pick])
         size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         for k, g in grad.items():
             g = (g / max(1.0, size)).astype(np.float32)
@@ -168,47 +205,49 @@ def fit_bytes(texts: list[bytes], y: np.ndarray, labels: list[str], steps: int =
     return model
 
 
-def train_langid(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = PER_LANGUAGE, label: str = "lang") -> ByteGRU | None:
-    """Learns from about ``per_language`` rows of each language that are not held out and have a letter.
+def train_langid(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = PER_LANGUAGE, label: str = "lang", most_bytes: int = TRAIN_BYTES) -> ByteGRU | None:
+    """Learns from whole texts of at most ``per_language`` rows of each language that are not held out and have a letter.
 
-    The sample is drawn by a hash of doc_id with a fraction for each language; ``PER_DOCUMENT`` windows
-    spread over a document stand for it.  None if no row can be learned from.
+    The rows are the first of each language by a hash of doc_id (equal rows count once) whose texts
+    still fit into that language's share of ``most_bytes``; only the MOST_LANGUAGES most frequent
+    languages are learned.  None if no row can be learned from.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(label).cast("string").alias("lang"))
     usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(remainder(modulus) != held, F.lit(False)))
-    share = {r.lang: min(1.0, 1.3 * per_language / r["count"]) for r in usable.groupBy("lang").count().collect()}
-    if not share:
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
         return None
-    cut = F.create_map(*[x for k, v in sorted(share.items()) for x in (F.lit(k), F.lit(int(v * (1 << 30))))])
+    cut = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int(min(1.0, 1.3 * per_language / r["count"]) * (1 << 30))))])
     drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut[F.col("lang")])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
-                rows, real, owner = windows(part.column("text"))
-                letters = np.array([bool(x and LETTER.search(x)) for x in part.column("text").to_pylist()])
-                cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                out = []
-                for i in range(part.num_rows):
-                    a, b = cuts[i], cuts[i + 1]
-                    picks = np.unique(np.linspace(a, b - 1, PER_DOCUMENT).astype(int)) if b > a and letters[i] else []
-                    out.append([rows[j, : real[j]].tobytes() for j in picks])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "lang", "windows"])
-
-    found = map_texts(drawn, encode, "doc_id long, lang string, windows array<binary>").where(F.size("windows") > 0)
-    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("windows")).limit(per_language * len(share) * 2).collect()
-    labels = sorted({r.lang for r in found})
-    if not labels:
+            yield batch.filter(pa.array([has_letter(x.as_py()) for x in batch.column("text")], pa.bool_()))
+
+    drawn = map_texts(drawn, lettered, "doc_id long, text string, lang string")
+    drawn = drawn.select(F.xxhash64("doc_id", "lang", "text").alias("uid"), F.xxhash64("doc_id").alias("h"), "lang", F.octet_length("text").alias("n"), "text")
+    known = drawn.select("uid", "h", "lang", "n").distinct().orderBy("h", "uid").limit(2 * per_language * len(counts)).collect()
+    labels = sorted({r.lang for r in known})
+    room, places, taken = {x: most_bytes // max(1, len(labels)) for x in labels}, dict.fromkeys(labels, per_language), {}
+    for r in known:
+        if places[r.lang] and r.n <= room[r.lang]:
+            places[r.lang] -= 1
+            room[r.lang] -= r.n
+            taken[r.uid] = labels.index(r.lang)
+    if not taken:
         return None
-    texts = [(bytes(w), labels.index(r.lang)) for r in found for w in r.windows]
-    return fit_bytes([t for t, _ in texts], np.array([k for _, k in texts]), labels)
+    # At most per_language rows a language and most_bytes of texts.
+    uids = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in taken], "uid long"))
+    found = drawn.join(uids, "uid").groupBy("uid").agg(F.min("text").alias("text")).orderBy("uid").collect()
+    every = spans(pa.array([r.text for r in found]), TRAIN_INNER, TRAIN_MARGIN)
+    return fit_bytes(every, np.array([taken[r.uid] for r in found]), labels)
 
 
 def language(docs: DataFrame, modulus: int = 4, held: int = 2, label: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs(doc_id, text, lang)``.
 
-    A null text or one without a letter is ``und`` with score 0, as is every text if nothing could be
-    learned; score is otherwise the mean probability of the predicted language.  Repeated rows are
+    A null text or one without a letter (Unicode category L) is ``und`` with score 0, as is every text if
+    nothing could be learned; score is otherwise the mean probability of the predicted language.  Repeated rows are
     each judged; other columns are ignored; no rows give none.
     """
     model = train_langid(docs, modulus, held, label=label)
@@ -217,7 +256,7 @@ def language(docs: DataFrame, modulus: int = 4, held: int = 2, label: str = "lan
         for batch in batches:
             for part in blocks(batch):
                 texts = part.column("text")
-                known = np.array([bool(model and x and LETTER.search(x)) for x in texts.to_pylist()], bool)
+                known = np.array([bool(model) and has_letter(x.as_py()) for x in texts], bool)
                 names, scores = ["und"] * len(known), np.zeros(len(known))
                 if known.any():
                     p = model.pooled(texts)

@@ -61,8 +61,7 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
     rows[:, 0] = np.bincount(owner, again, n) / held
-    keys = np.unique((h & ~np.uint64(0xFFFFF)) | (owner & 0xFFFFF).astype(np.uint64))
-    rows[:, 1] = np.bincount((keys & np.uint64(0xFFFFF)).astype(np.int64), minlength=n)[:n] / held
+    rows[:, 1] = _distinct(h, owner, (words - bounds[doc]) % PASSAGE, n) / held
     rows[:, 2] = np.bincount(owner, lengths, n) / held / 10
     rows[:, 3] = np.bincount(owner, lengths == 1, n) / held
     rows[:, 4] = np.log1p(held) / 4
@@ -72,6 +71,21 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cuts, out
 
 
+def _distinct(h: np.ndarray, owner: np.ndarray, place: np.ndarray, n: int, step: int = 16384) -> np.ndarray:
+    """How many different hashes each passage has; ``owner`` is sorted and ``place`` is a word's place in its passage."""
+    out = np.zeros(n, np.int64)
+    for lo in range(0, n, step):
+        a, b = np.searchsorted(owner, (lo, lo + step))
+        table = np.full((min(step, n - lo), PASSAGE), np.uint64(2**64 - 1))
+        table[owner[a:b] - lo, place[a:b]] = h[a:b]
+        table.sort(axis=1)
+        filled = np.bincount(owner[a:b] - lo, minlength=len(table))
+        fresh = np.ones(table.shape, bool)
+        fresh[:, 1:] = table[:, 1:] != table[:, :-1]
+        out[lo : lo + len(table)] = (fresh & (np.arange(PASSAGE) < filled[:, None])).sum(axis=1)
+    return out
+
+
 @dataclass
 class AttentionModel:
     """Weights of the encoder (E), the gated attention (V, U, w) and the scorer (c, b); mean and scale of the features."""
@@ -94,6 +108,22 @@ class AttentionModel:
         bag = np.add.reduceat(s[:, None] * e, starts, axis=0)
         return {"x": x, "e": e, "a": a, "g": g, "s": s, "bag": bag, "logit": bag @ p["c"] + p["b"]}
 
+    def gradient(self, x: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """The gradient of the mean logistic loss of bags labelled ``y``, and the loss."""
+        p, f, sizes = self.part, self.forward(x, cuts), np.diff(cuts)
+        d = ((sigmoid(f["logit"]) - y) / len(y)).astype(f["e"].dtype)
+        grad = {"c": f["bag"].T @ d, "b": d.sum()}
+        of = np.repeat(d, sizes)[:, None] * p["c"]
+        back = (of * f["e"]).sum(axis=1)  # d loss / d attention
+        ds = f["s"] * (back - np.repeat(np.add.reduceat(f["s"] * back, cuts[:-1]), sizes))
+        grad["w"] = (f["a"] * f["g"]).T @ ds
+        dg = ds[:, None] * p["w"]
+        da, du = dg * f["g"] * (1 - f["a"] ** 2), dg * f["a"] * f["g"] * (1 - f["g"])
+        grad["V"], grad["U"] = f["e"].T @ da, f["e"].T @ du
+        de = (f["s"][:, None] * of + da @ p["V"].T + du @ p["U"].T) * (1 - f["e"] ** 2)
+        grad["E"], grad["e"] = f["x"].T @ de, de.sum(axis=0)
+        return grad, float(np.logaddexp(0, np.where(y == 1, -f["logit"], f["logit"])).mean())
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         if not self.part:
             return sigmoid(np.full(len(texts), self.shift))
@@ -123,21 +153,8 @@ def fit_attention(bags: list[np.ndarray], y: np.ndarray, shift: float = 0.0, hid
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
-            sizes = np.array([len(bags[i]) for i in pick])
-            cuts = np.concatenate(([0], np.cumsum(sizes)))
-            f = model.forward(np.concatenate([bags[i] for i in pick]), cuts)
-            d = ((sigmoid(f["logit"]) - y[pick]) / len(pick)).astype(np.float32)
-            grad = {"c": f["bag"].T @ d, "b": d.sum()}
-            of = np.repeat(d, sizes)[:, None] * part["c"]
-            back = (of * f["e"]).sum(axis=1)  # d loss / d attention
-            ds = f["s"] * (back - np.repeat(np.add.reduceat(f["s"] * back, cuts[:-1]), sizes))
-            gate = f["a"] * f["g"]
-            grad["w"] = gate.T @ ds
-            dg = ds[:, None] * part["w"]
-            da, du = dg * f["g"] * (1 - f["a"] ** 2), dg * f["a"] * f["g"] * (1 - f["g"])
-            grad["V"], grad["U"] = f["e"].T @ da, f["e"].T @ du
-            de = (f["s"][:, None] * of + da @ part["V"].T + du @ part["U"].T) * (1 - f["e"] ** 2)
-            grad["E"], grad["e"] = f["x"].T @ de, de.sum(axis=0)
+            cuts = np.concatenate(([0], np.cumsum([len(bags[i]) for i in pick])))
+            grad, _ = model.gradient(np.concatenate([bags[i] for i in pick]), cuts, y[pick])
             step += 1
             now = rate * (1 - epoch / epochs) + 1e-4
             for k in part:
@@ -184,6 +201,9 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that quality() predicts as 1, with all their columns."""
+    """The rows of ``docs`` that quality() predicts as 1, with all their columns, of any names.
+
+    Null and empty texts are scored as one empty passage; without usable labels all rows stay.
+    """
     model = train_quality(docs, labels, modulus, held)
     return keep_rows(docs, model.scores, lambda s: s >= threshold)
