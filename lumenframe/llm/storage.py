@@ -63,3 +63,19 @@ def join_keyed(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     hot = F.broadcast(values.where(F.col("n") > most).drop("n"))
     rest = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col("n") <= most).drop("n"), key, "left")
     return rest.unionByName(rows.join(hot, key))
+
+
+def spread(rows: DataFrame, values: DataFrame, keys: list[str], uid: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an inner join on ``keys`` with a further join column ``salt``.
+
+    A key with over a HOT-th of all ``rows`` is dealt, by ``uid``, among as many copies of its values
+    as keep a copy's share below that; other keys have one copy.  Neither side has null keys.
+    """
+    sizes = Table(rows.groupBy(*keys).agg(F.count("*").alias("n")), "sizes").df
+    most = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // HOT)
+    # Fewer than HOT rows, so the broadcasts are bounded.
+    hot = Table(sizes.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("salts")), "hot").df
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    one = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(uid), salts)).drop("salts")
+    other = values.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return one, other

@@ -11,19 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Table
-
-#: Copies of the intervals, among which the captures of a very frequent host are dealt.
-SALTS = 32
-#: A longer host is no host name, and has no patterns, not even those of its parent domains.
-HOST_CHARS = 253
+from .storage import Table, spread
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL with a scheme, without user, port and final dot; null if there is none."""
-    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    """The lower-case host of a URL with a scheme, without user, port and final dot; null if there is none.
+
+    An IPv6 address keeps its brackets.
+    """
+    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1))
     host = F.regexp_replace(found, r"\.$", "")
-    return F.when((F.length(host) > 0) & (F.length(host) <= HOST_CHARS), host)
+    return F.when(F.length(host) > 0, host)
 
 
 def segment_of(url: Column) -> Column:
@@ -31,12 +29,18 @@ def segment_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]*)", 1)
 
 
-def patterns_of(host: Column, segment: Column) -> Column:
-    """The distinct patterns a URL can match; none without a host."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    path = F.when(F.length(segment) > 0, F.array(F.concat(host, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
-    return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, path)))
+def patterns_of(host: Column, segment: Column, most: int) -> Column:
+    """The distinct patterns of at most ``most`` labels a URL can match; none without a host.
+
+    An IPv6 address has no parent domains.  ``most`` is that of the longest listed pattern, so that a host
+    of very many labels makes no more text than can match.
+    """
+    labels = F.split(host, r"\.", -1)
+    last = F.slice(labels, F.greatest(F.size(labels) - most, F.lit(0)) + 1, most)
+    domains = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, i, F.size(last)), "."))
+    whole = F.when(host.startswith("["), F.array(host)).otherwise(domains)
+    path = F.when((F.length(segment) > 0) & (F.size(labels) <= most), F.array(F.concat(host, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
+    return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(whole, path)))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -61,13 +65,15 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     lists: the names of all lists with an interval that holds the fetch day for one of the URL's
     patterns, sorted; matched: the longest such pattern (the first in byte order of equally long
-    ones); blocked: there is one.  A null URL, one without scheme and host, and a null fetch day match
+    ones); blocked: there is one.  Hosts and patterns may have any length.  A null URL, one without scheme and host, and a null fetch day match
     nothing; repeated rows are each evaluated; no captures give no rows; other columns are ignored.
     """
     rows = captures.select(F.monotonically_increasing_id().alias("uid"), "id", host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment"), F.col("fetched").cast("date").alias("fetched"))
     rows = Table(rows, "captures").df
-    spans = validity_intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = rows.select("uid", "fetched", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(patterns_of(F.col("host"), F.col("segment"))).alias("pattern"))
+    spans = Table(validity_intervals(entries), "intervals").df
+    most = spans.agg(F.max(F.size(F.split(F.substring_index("pattern", "/", 1), r"\.", -1)))).first()[0] or 1
+    asked = rows.select("uid", "fetched", F.explode(patterns_of(F.col("host"), F.col("segment"), most)).alias("pattern"))
+    asked, spans = spread(asked, spans, ["pattern"], "uid")
     held = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     active = asked.join(spans, ["pattern", "salt"]).where(held)
     best = F.min(F.struct(-F.length("pattern"), "pattern"))["pattern"]

@@ -53,6 +53,14 @@ def test_odd_urls_and_empty_tables(spark):
     table = spark.createDataFrame(rows, CAPTURES)
     got = sorted(((str(r.id), r.blocked, r.matched) for r in filter_urls(table, entries).collect()))
     hit, path = (True, "example.com"), (True, "example.com/A")
-    assert got == sorted([("0", *hit), ("1", *hit), ("1", *hit), ("8", *hit), ("None", *path), *[(str(i), False, None) for i in (2, 3, 4, 5, 6, 7, 99)]])
+    assert got == sorted([("0", *hit), ("1", *hit), ("1", *hit), ("6", *hit), ("8", *hit), ("None", *path), *[(str(i), False, None) for i in (2, 3, 4, 5, 7, 99)]])
     assert filter_urls(table.limit(0), entries).collect() == []
     assert [r.blocked for r in filter_urls(table, entries.limit(0)).collect()] == [False] * len(rows)
+
+
+def test_long_hosts_and_addresses(spark):
+    deep = ".".join(["a"] * 5000)
+    rows = [("l", f"{deep}.example.com", "add", DAY(0)), ("l", "[::1]", "add", DAY(0)), ("l", "[::1]/x", "add", DAY(0)), ("l", "4]", "add", DAY(0)), ("l", "7.8.9", "add", DAY(0))]
+    urls = [f"http://{deep}.example.com/", f"http://b.{deep}.example.com/", f"http://{deep[2:]}.example.com/", "http://[::1]:80/", "http://[::1]/x", "https://u@[::1.2.3.4]/", "ftp://7.8.9/", "http://x7.8.9/"]
+    got = {r.id: r.matched for r in filter_urls(spark.createDataFrame([(i, u, DAY(1), "") for i, u in enumerate(urls)], CAPTURES), spark.createDataFrame(rows, ENTRIES)).collect()}
+    assert [got[i] for i in range(8)] == [f"{deep}.example.com", f"{deep}.example.com", None, "[::1]", "[::1]/x", None, "7.8.9", None]
