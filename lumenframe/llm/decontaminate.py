@@ -14,19 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .simhash import ROW
-from .storage import Table
+from .storage import Table, spread
 from .words import blocks, buffers, map_texts, mix, span_hashes
 
 WINDOW = 13
 GRAM = 5
-#: Copies of a test fingerprint, among which the training rows of a very frequent one are dealt.
-SALTS = 32
 #: The filter's bits at most (16 MiB), whatever the size of the test side.
 FILTER_BITS = 1 << 27
+PART_WORDS = 4096
 _KEEP = np.zeros(256, bool)
 _KEEP[0x30:0x3A] = _KEEP[0x61:0x7B] = _KEEP[0x80:] = True
 
@@ -133,15 +132,22 @@ def filter_places(prints: np.ndarray, words: int) -> list[np.ndarray]:
 
 
 def bit_filter(prints: DataFrame) -> np.ndarray:
-    """A two-hash bit filter of ``prints(fp)``: 64 bits an entry up to FILTER_BITS, gathered as non-zero words."""
+    """A two-hash bit filter of ``prints(fp)``: 64 bits an entry up to FILTER_BITS, gathered in parts of PART_WORDS words."""
     n = prints.select("fp").distinct().count()
     bits = min(FILTER_BITS, 1 << max(12, (64 * n - 1).bit_length() if n else 12))
     places = F.explode(F.array(F.col("fp").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(bits - 1))))
     one = prints.select(places.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-    out = np.zeros(bits // 64, np.uint64)
-    for word, bit in one.groupBy("word").agg(F.bit_or("bit")).collect():
-        out[word] = bit & (2**64 - 1)
-    return out
+    words = one.groupBy("word").agg(F.bit_or("bit").alias("bit")).withColumn("part", F.shiftright("word", PART_WORDS.bit_length() - 1))
+
+    def pack(group: pa.Table) -> pa.Table:
+        held = np.zeros(PART_WORDS, np.int64)
+        held[group["word"].to_numpy() % PART_WORDS] = group["bit"].to_numpy()
+        return pa.table({"part": group["part"].slice(0, 1), "held": pa.array([held.tobytes()], pa.binary())})
+
+    out = np.zeros(max(bits // 64, PART_WORDS), np.uint64)
+    for part, held in words.groupBy("part").applyInArrow(pack, "part long, held binary").collect():
+        out[part * PART_WORDS : (part + 1) * PART_WORDS] = np.frombuffer(held, np.uint64)
+    return out[: bits // 64]
 
 
 def _agreeing(one: str, other: str):
@@ -174,15 +180,25 @@ def _verdicts(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int
     lengths = sorted(r[0] for r in own.select("length").distinct().collect())  # 1 .. window
     bits = bit_filter(own)
     seen = Table(scan(rows, lengths, bits, gram, window), "prints").df
-    found = seen.where(F.size("prints") > 0).select("uid", F.explode("prints").alias("p")).select("uid", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).alias("salt"), "p.*")
-    copies = own.select("item_id", "fp", "length", "mid", F.col("before").alias("item_before"), F.col("after").alias("item_after"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    both = found.join(copies, ["fp", "length", "mid", "salt"])
+    found = seen.where(F.size("prints") > 0).select("uid", F.explode("prints").alias("p")).select("uid", "p.*")
+    # Items that share a fingerprint's whole context are one context until it is verified.
+    parts = ["fp", "length", "mid", "before", "after"]
+    named = own.withColumn("context", F.sha2(F.to_json(F.struct(*parts)), 256))
+    contexts = named.select("context", "fp", "length", "mid", F.col("before").alias("item_before"), F.col("after").alias("item_after")).distinct()
+    found, contexts = spread(found, contexts, ["fp", "length", "mid"], "uid")
+    both = found.join(contexts, ["fp", "length", "mid", "salt"])
     k = F.least(F.lit(gram), F.col("length"))
     back, ahead = _agreeing("before", "item_before"), _agreeing("after", "item_after")
-    hits = both.select("uid", "item_id", "length", (F.col("pos") - back).alias("lo"), (F.col("pos") + k + ahead).alias("hi")).where(F.col("hi") - F.col("lo") >= F.col("length"))
-    each = hits.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    touching = F.aggregate("ranges", F.array().cast("array<struct<lo:int,hi:int>>"), _join_range)
-    each = each.select("uid", touching.alias("spans"), "items")
+    hits = both.select("uid", "context", "length", (F.col("pos") - back).alias("lo"), (F.col("pos") + k + ahead).alias("hi")).where(F.col("hi") - F.col("lo") >= F.col("length"))
+    hits = Table(hits.select("uid", "context", "lo", "hi").distinct(), "hits").df
+    in_order = Window.partitionBy("uid").orderBy("lo", "hi")
+    reached = F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = hits.select("uid", "lo", "hi").distinct().withColumn("fresh", F.coalesce(F.col("lo") > reached, F.lit(True)))
+    ranges = ranges.withColumn("nth", F.sum(F.col("fresh").cast("int")).over(in_order)).groupBy("uid", "nth").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    each = ranges.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    one, other = spread(hits.select("uid", "context").distinct(), named.select("context", F.col("item_id").cast("string").alias("item")).distinct(), ["context"], "uid")
+    listed = one.join(other, ["context", "salt"]).groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    each = each.join(listed, "uid")
     out = seen.select("uid", F.col("id").alias("doc_id"), "n_words").join(each, "uid", "left")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"]), F.lit(0).cast("long"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
@@ -190,16 +206,12 @@ def _verdicts(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int
     return out.select("uid", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
 
 
-def _join_range(done, x):
-    """Appends a range to disjoint ones, or widens the last of them."""
-    last = F.element_at(done, -1)
-    apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["hi"] < x["lo"])
-    wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))))
-    return F.when(apart, F.concat(done, F.array(F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))).otherwise(wider)
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, keep_without_id: bool = True) -> DataFrame:
-    """``docs`` without the rows whose own text is contaminated; those without doc_id stay unless ``keep_without_id`` is false."""
+    """``docs`` without the rows whose own text is contaminated; those without doc_id stay unless ``keep_without_id`` is false.
+
+    Rows are judged one by one, repeated ones each; null, empty and wordless texts stay; without items, or
+    with an empty table, nothing goes; other columns may have any name.
+    """
     numbered = Table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered").df
     gone = _verdicts(numbered.select(F.col(ROW).alias("uid"), F.col("doc_id").cast("long").alias("id"), "text"), items).where("contaminated")
     gone = gone.where("doc_id is not null") if keep_without_id else gone
