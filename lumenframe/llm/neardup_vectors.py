@@ -3,14 +3,16 @@
 Equal vectors are first taken together.  The top of a cover tree over a bounded sample gives cells;
 every vector goes to its nearest cell, cells to blocks of bounded size by hash, and every block gets a
 cover tree of its own.  Pairs of cells whose covering radii keep them apart are pruned; the trees of
-all other block pairs are traversed together.  A task holds two blocks, links between different
-vectors are all found, and only counts and a spanning forest of them leave the task.
+all other block pairs are traversed together.  Blocks are dealt in squares of up to ``SQUARE`` by SQUARE
+blocks, so that a tree travels once a square and not once a partner; a task holds one square.  Links
+between different vectors are all found, and only counts and a spanning forest of them leave the task.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .covertree import SLACK, CoverTree, chords, dual_pairs, net
 from .simhash import settle
-from .storage import Table
+from .storage import Table, join_keyed
 
 COSINE = 0.95
 #: Vectors from which the top of the tree is made, and its cells, at most.
@@ -28,6 +30,9 @@ SAMPLE = 2048
 CELLS = 256
 #: Vectors in a block, on average.
 BLOCK_ROWS = 4096
+#: Blocks on a side of a square, for vectors of SQUARE_WIDTH components or fewer; wider ones have smaller squares.
+SQUARE = 8
+SQUARE_WIDTH = 64
 NO_ID = 1 << 62
 
 
@@ -115,18 +120,23 @@ def vector_links(reps: DataFrame, width: int, kind: str, cosine: float = COSINE,
 
     trees = placed.withColumn("sub", block_of.cast("long")).groupBy("cell", "sub").applyInArrow(plant, "cell int, sub long, tree binary")
 
+    # Squares of one block while there are few blocks, so that all cores have some.
+    per = max(1, min(SQUARE * SQUARE_WIDTH // max(width, SQUARE_WIDTH), sum(subs.values()) // max(1, int((8 * spark.sparkContext.defaultParallelism) ** 0.5))))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block pair that a block is part of."""
+        """A row for each square that a block is part of; s1 and s2 number runs of ``per`` blocks of a cell."""
         for batch in batches:
             for cell, sub, tree in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for other in partners[cell]:
-                    keys = [sorted(((cell, sub), (other, s))) for s in range(subs[other])]
+                    keys = [sorted(((cell, sub // per), (other, s))) for s in range(-(-subs[other] // per))]
                     for k in range(0, len(keys), 64):
                         some = keys[k : k + 64]
                         flat = [[p[0][0] for p in some], [p[0][1] for p in some], [p[1][0] for p in some], [p[1][1] for p in some]]
-                        yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in flat), pa.array([tree] * len(some), pa.binary())], ["c1", "s1", "c2", "s2", "tree"])
+                        mine = [pa.array([v] * len(some), pa.int64()) for v in (cell, sub)]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in flat), *mine, pa.array([tree] * len(some), pa.binary())], ["c1", "s1", "c2", "s2", "cell", "sub", "tree"])
 
     def traverse(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("cell", "ascending"), ("sub", "ascending")])
         trees, nodes, copies, dims = [], [], [], []
         for blob in group["tree"].to_pylist():
             z = np.load(io.BytesIO(blob))
@@ -137,20 +147,25 @@ def vector_links(reps: DataFrame, width: int, kind: str, cosine: float = COSINE,
             nodes.append(z["nodes"])
             copies.append(z["copies"])
             dims.append(z["dims"])
-        a, b, offset, same = trees[0], trees[-1], len(nodes[0]) if len(trees) > 1 else 0, len(trees) == 1
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in nodes])))
         nodes, copies, dims = (np.concatenate(v) for v in (nodes, copies, dims))
         counts, names = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-        for i, j in dual_pairs(a, b, cosine, same):
-            j = j + offset
-            alike = dims[i] == dims[j]
-            i, j = i[alike], j[alike]
-            np.add.at(counts, i, copies[j])
-            np.add.at(counts, j, copies[i])
-            settle(names, i, j)
+        first = [group[c][0].as_py() for c in ("c1", "s1")]
+        inside = [[cell, sub // per] == first for cell, sub in zip(group["cell"].to_pylist(), group["sub"].to_pylist(), strict=True)]
+        for p, q in combinations_with_replacement(range(len(trees)), 2):
+            if inside[p] == inside[q] and not all(inside):
+                continue  # two blocks of one side meet in another square
+            for i, j in dual_pairs(trees[p], trees[q], cosine, p == q):
+                i, j = i + offsets[p], j + offsets[q]
+                alike = dims[i] == dims[j]
+                i, j = i[alike], j[alike]
+                np.add.at(counts, i, copies[j])
+                np.add.at(counts, j, copies[i])
+                settle(names, i, j)
         tied, found = np.flatnonzero(names != np.arange(len(nodes))), np.flatnonzero(counts)
         return pa.table({"a": np.concatenate((nodes[names[tied]], nodes[found])), "b": pa.array(np.concatenate((nodes[tied], np.zeros(len(found), np.int64))), mask=np.arange(len(tied) + len(found)) >= len(tied)), "n": np.concatenate((np.zeros(len(tied), np.int64), counts[found]))})
 
-    dealt = trees.mapInArrow(deal, "c1 long, s1 long, c2 long, s2 long, tree binary")
+    dealt = trees.mapInArrow(deal, "c1 long, s1 long, c2 long, s2 long, cell long, sub long, tree binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return Table(dealt.repartition(n, "c1", "s1", "c2", "s2").groupBy("c1", "s1", "c2", "s2").applyInArrow(traverse, "a long, b long, n long"), "links")
 
@@ -177,9 +192,9 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, block_rows:
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     classes = connected_components(found.where("b is not null").select("a", "b"))
     info = reps.join(counts, "node", "left").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    info = Table(info.select("raw", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "id", "class"), "info").df
+    info = Table(info.select("raw", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "id", "class"), "info").df
     least = info.groupBy("class").agg(F.min("id").alias("component_id"))
-    info = Table(info.join(least, "class").select(key.alias("key"), "n_links", "component_id"), "classes").df
-    alive = marks.where("raw is not null").select("id", key.alias("key")).join(info, "key").select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    info = Table(info.join(least, "class").select(key.alias("key"), F.col("copies").alias("n"), "n_links", "component_id"), "classes").df
+    alive = join_keyed(marks.where("raw is not null").select("id", key.alias("key")), info, "key").select(F.col("id").alias("vec_id"), "n_links", "component_id")
     alone = marks.where("raw is null").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return alive.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -91,7 +91,7 @@ ORACLES: dict[str, str] = {
     "op3_url_filter": r"""
 WITH p AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id * 7919 % 900 AS INTEGER) AS fetched,
-         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', ''), '') AS host,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1)), '\.$', ''), '') AS host,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]*)', 1) AS seg
   FROM pages),
 h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS n FROM p WHERE host IS NOT NULL),
@@ -104,7 +104,7 @@ e AS (
   UNION ALL SELECT 'regional', host || '/de', 'add', n % 300 FROM h WHERE n % 2 = 0),
 q AS (
   SELECT page_id, fetched, host, unnest(list_distinct(list_concat(
-           list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
+           CASE WHEN host LIKE '[%' THEN [host] ELSE list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')) END,
            CASE WHEN seg <> '' THEN [host || '/' || seg] ELSE [] END))) AS pattern
   FROM p WHERE host IS NOT NULL),
 d AS (SELECT list, pattern, k, bool_or(action = 'add') AS is_on FROM e GROUP BY ALL),
@@ -135,5 +135,18 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(array_to_str
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+""",
+    "op9_embeddings": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS one, b.vec_id AS other FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS one, vec_id AS other FROM embeddings UNION SELECT r.one, l.other FROM reach r JOIN links l ON r.other = l.one),
+least AS (SELECT one AS vec_id, min(other) AS component_id FROM reach GROUP BY one),
+n AS (SELECT one AS vec_id, count(*) AS n FROM links GROUP BY one)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON e.vec_id = least.vec_id LEFT JOIN n ON e.vec_id = n.vec_id
 """,
 }

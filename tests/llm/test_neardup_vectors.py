@@ -46,7 +46,7 @@ def brute(rows, cosine=0.95):
     return [(links[i], root(i)) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("block_rows", [16, 4096])
+@pytest.mark.parametrize("block_rows", [5, 16, 4096])
 def test_matches_brute_force(spark, block_rows):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((20, 8))
