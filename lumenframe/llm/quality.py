@@ -64,7 +64,7 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rows[:, 1] = _distinct(h, owner, (words - bounds[doc]) % PASSAGE, n) / held
     rows[:, 2] = np.bincount(owner, lengths, n) / held / 10
     rows[:, 3] = np.bincount(owner, lengths == 1, n) / held
-    rows[:, 4] = np.log1p(held) / 4
+    rows[:, 4] = np.log1p(np.bincount(owner, minlength=n)) / 4
     rows[:, 5] = (np.repeat(counts, per) > 0) * np.log1p(np.repeat(counts, per)) / 10
     rows[:, 6] = np.bincount(owner, kind[offsets[1:] - 1] == 4, n) / held
     rows[:, 7] = np.bincount(owner, kind[offsets[:-1]] == 2, n) / held

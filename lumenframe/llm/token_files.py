@@ -71,7 +71,7 @@ class ChunkEncoder:
             spec = json.load(f)
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         cut = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.chunked = steps == ["NFC", "Replace", "Lowercase"] and cut.get("pattern", {}).get("Regex") == WORD_SPLIT and cut.get("behavior") == "Removed" and not spec.get("post_processor")
+        self.chunked = steps == ["NFC", "Replace", "Lowercase"] and cut.get("pattern", {}).get("Regex") == WORD_SPLIT and cut.get("behavior") == "Removed" and not spec.get("post_processor") and all("<|" in x["content"] for x in spec.get("added_tokens", []))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self._forget()
@@ -238,7 +238,10 @@ class TokenFile:
 
 
 def read_digests(spark: SparkSession, files: list[dict], block: int = 1 << 20) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone, a file a task."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone, a file a task.
+
+    Rows that were written without doc_id have a null one and come first; no files give no rows.
+    """
     starts = np.concatenate(([0], np.cumsum([f["n_ids"] for f in files]))).astype(np.int64)
     places = [f["file"] for f in files]
 
@@ -264,6 +267,10 @@ def read_digests(spark: SparkSession, files: list[dict], block: int = 1 << 20) -
 
 
 def token_digests(docs: DataFrame, tokenizer_file: str, end_id: int = 2) -> DataFrame:
-    """Writes ``docs`` as token files in the shared folder and returns what reading them back gives."""
+    """Writes ``docs(doc_id, text)`` as token files in the shared folder and returns what reading them back gives.
+
+    A null or empty text has its end id alone; repeated rows are each written; other columns are ignored;
+    no documents give no rows.
+    """
     spark = docs.sparkSession
     return read_digests(spark, write_token_files(docs, new_folder(spark, "tokens"), tokenizer_file, end_id))

@@ -184,7 +184,7 @@ def plain_features(words, per_text):
     """The features of one passage that count words."""
     n = max(len(words), 1)
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    return [again / n, len(set(words)) / n, sum(len(w.encode()) for w in words) / n / 10, sum(len(w.encode()) == 1 for w in words) / n, np.log1p(n) / 4, np.log1p(per_text) / 10]
+    return [again / n, len(set(words)) / n, sum(len(w.encode()) for w in words) / n / 10, sum(len(w.encode()) == 1 for w in words) / n, np.log1p(len(words)) / 4, np.log1p(per_text) / 10]
 
 
 def test_attention_against_a_plain_one_and_its_gradient():

@@ -41,8 +41,16 @@ def test_stages_against_brute_force(spark, sf_dir):
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
-    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "x" * 50_000, None, "s", None), (2, "x" * 50_000, None, "s", None)]
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "x" * 50_000, None, "s", None), (2, "x" * 50_000, None, "s", None), (None, "x" * 50_000, None, None, None)]
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, sf_dir).count() <= 4
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in stages.values():
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    ids = lambda frame: sorted((str(r.doc_id) for r in frame.select("doc_id").collect()))
+    # The labels' documents aren't among these, so nothing is learned and nothing rejected.
+    nothing = spark.createDataFrame([(10**9 + i, "t") for i in range(2)], "doc_id long, text string")
+    assert stages["quality"](spark, nothing, sf_dir).count() == stages["toxicity"](spark, nothing, sf_dir).count() == 2
+    assert ids(stages["near_duplicates"](spark, docs, sf_dir)) == ["1", "2"]
+    assert ids(stages["decontamination"](spark, docs, sf_dir)) == ["1", "2", "2", "None", "None"]
+    coded = [(str(r.doc_id), len(r.ids) > 0) for r in stages["encoding"](spark, docs, sf_dir).collect()]
+    assert sorted(coded) == [("1", False), ("2", True), ("2", True), ("None", False), ("None", True)]
