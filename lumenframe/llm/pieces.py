@@ -34,11 +34,11 @@ from .words import blocks, buffers, map_texts, mix
 SEED = 2024
 #: Weight of a piece: (2 + its rank among merges) ** -THETA; larger is closer to the best segmentation.
 THETA = 1.0
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 #: Bytes of segments that are filtered together, and segments that a worker remembers before it starts anew.
-PART = 256 << 10
-REMEMBERED = 250_000
-REMEMBERED_EDGES = 8 << 20
+PART = 32 << 10
+REMEMBERED = 60_000
+REMEMBERED_EDGES = 2 << 20
 #: A segment of more bytes is filtered alone; bytes of a span of it; how far weights before a span may be off.
 LONG = 256
 SPAN = 512

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +18,13 @@ BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
 
+def _trim() -> None:
+    """Gives freed memory back, since a worker lives on between stages beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over rows that may be long: the session's batches are bounded by bytes, not by rows alone.
 
@@ -25,7 +34,14 @@ def map_texts(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterat
     most = frame.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
     if most > BATCH_BYTES or most <= 0:
         conf.set(key, str(BATCH_BYTES))
-    return frame.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return frame.mapInArrow(trimmed, schema)
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
