@@ -72,9 +72,11 @@ def counted(n: Column, noun: str) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts like numeric, case- and accent-insensitive comparison: digit runs by value."""
+    """Sorts like numeric, case- and accent-insensitive comparison: digit runs by value, of any length."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1)
-    padded = F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), 20, "0")).otherwise(x))
+    value = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    # A longer run of digits is the larger number; ten digits hold the length of any string.
+    padded = F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(value(x)).cast("string"), 10, "0"), value(x))).otherwise(x))
     return F.collate(F.array_join(padded, ""), "UNICODE_CI_AI")
 
 
@@ -103,6 +105,7 @@ def folder_summary(done: int, total: int, cancelled: bool) -> str:
 
 def skip_notes(unscored: int, explicit: int, video: int) -> str:
     """The message of a description pass that found nothing to do."""
+    # The wording is part of the result.
     notes = [f"{n} {what}" for n, what in ((unscored, "not yet Explicit-analyzed (run Explicit first)"), (explicit, "explicit"), (video, "deduped video frames")) if n]
     return f"Nothing to describe. Skipped: {', '.join(notes)}." if notes else "No images needed description."
 
@@ -121,12 +124,13 @@ def short_path(path: Column) -> Column:
 
 
 def date_label(ms: Column) -> Column:
-    """``Jan 02, 03:04 PM`` in UTC; ``Unknown date`` for null and 0."""
+    """``Jan 2, 03:04 PM`` in UTC; ``Unknown date`` for null and 0."""
     return F.when(ms.isNull() | (ms == 0), "Unknown date").otherwise(F.date_format(F.timestamp_millis(ms), "MMM d, hh:mm a"))
 
 
 def analysis_summary(threshold: float = 0.45) -> Column:
     """The lines that sum up a view row's analysis."""
+    # The wording of the lines is the result.
     c, line = F.col, F.concat
     score, limit = c("nsfw_score"), F.lit(threshold).cast("float")
     status = F.when(score >= limit, "Explicit").otherwise("Below explicit threshold")

@@ -57,14 +57,19 @@ class Busy(RuntimeError):
 
 #: (root, pass) of what runs on this driver, whichever object started it.
 _RUNNING: set[tuple[str, str]] = set()
+_CANCELLED: set[tuple[str, str]] = set()
+#: Commits of one pass at most.
+MOST_BATCHES = 64
 
 
 class Library:
     """One library; ``root`` is mounted on all executors, ``state`` may be in any store (by default below the root)."""
 
-    def __init__(self, spark: SparkSession, root: str, state: str | None = None, legacy_hash: bool = False, clock: Callable[[], str] = now_iso, names: C.Names = C.Names()):
+    def __init__(self, spark: SparkSession, root: str, state: str | None = None, legacy_hash: bool = False, clock: Callable[[], str] = now_iso, names: C.Names = C.Names(), shrink: Callable[[str, str], None] | None = None, events: Callable[[str, dict], None] = lambda kind, what: None):
+        """``shrink(source, target)`` makes a thumbnail; ``events(kind, what)`` hears of progress and of what finished."""
         if not os.path.isdir(root):
-            raise ValueError("Root folder does not exist.")
+            raise ValueError(f"{root} is no folder")
+        self.shrink, self.events = shrink, events
         self.spark, self.root, self.legacy, self.now, self.names = spark, os.path.abspath(root), legacy_hash, clock, names
         self._scans: list[str] = []
         self.store = sinks.RecordStore(spark, state or f"file://{self.root}/.lumenframe")
@@ -98,12 +103,14 @@ class Library:
         found = files.scan(self.spark, self.root, names)
         seen = files.hash_files(reconcile.reuse_hashes(found, reconcile.hash_index(records)), self.legacy)
         shared = f"{self.store.folder}/files-{self.now().replace(':', '')}"
-        seen.write.mode("overwrite").parquet(shared)  # what was found is read once, however often it is used
+        seen.write.mode("overwrite").parquet(f"{shared}/files")  # what was found is read once, however often it is used
         self._scans.append(shared)
         for old in self._scans[:-3]:  # views of the last scans stay readable
             self.store.remove(old)
         del self._scans[:-3]
-        seen = self.spark.read.parquet(shared)
+        seen = self.spark.read.parquet(f"{shared}/files")
+        if self.shrink:  # once a hash; those made before are only looked up
+            sinks.write_thumbnails(seen, self.root, self.shrink, self.names).write.mode("overwrite").parquet(f"{shared}/thumbnails")
 
         def change(config, records):
             after = reconcile.reconcile(records, seen, names)
@@ -115,7 +122,10 @@ class Library:
         return self._show(config, records, seen, folders)
 
     def _show(self, config, records, seen, folders) -> LibraryView:
-        images = views.library_view(seen, records).orderBy(*views.order("library"))
+        images = views.library_view(seen, records)
+        if self.shrink:
+            images = views.with_thumbnails(images, self.spark.read.schema("hash string, thumbnail string").parquet(f"{self._scans[-1]}/thumbnails"))
+        images = images.orderBy(*views.order("library"))
         listed = self.spark.createDataFrame(folders, "name string, is_manual boolean")
         excluded = views.name_table(self.spark, list(config.excluded_analysis_folders))
         categories = views.name_table(self.spark, list(config.categories))
@@ -131,7 +141,7 @@ class Library:
     def add_folder(self, name: str) -> documents.Config:
         name = paths.check_name(name)
         if not os.path.isdir(f"{self.root}/{name}"):
-            raise ValueError("Choose a direct subfolder of the root.")
+            raise ValueError(f"{name} is no folder of the root")
         return self.store.configure(lambda c: c if name in c.manual_source_folders else c.with_(manual_source_folders=(*c.manual_source_folders, name)))
 
     def remove_folder(self, name: str) -> documents.Config:
@@ -164,7 +174,7 @@ class Library:
         name = paths.check_name(name, "Category")
 
         def change(c):
-            if any(x.lower() == name.lower() for x in c.categories):
+            if any(edits.is_same_name(x, name) for x in c.categories):
                 raise ValueError("That category already exists.")
             return c.with_(categories=(*c.categories, name))
 
@@ -176,7 +186,7 @@ class Library:
         def change(c, r):
             if old not in c.categories:
                 raise ValueError("That category does not exist.")
-            if any(x.lower() == new.lower() for x in c.categories):
+            if any(edits.is_same_name(x, new) for x in c.categories):
                 raise ValueError("That category already exists.")
             return c.with_(categories=tuple(new if x == old else x for x in c.categories)), edits.rename_category(r, old, new)
 
@@ -198,15 +208,36 @@ class Library:
 
     # --- passes ---
 
-    def run_pass(self, name: str, enrich: Enricher, force: bool = False) -> str:
-        """Runs a pass over what is pending and merges its results into what is stored by then."""
+    def run_pass(self, name: str, enrich: Enricher, force: bool = False, rows: int = C.CHECKPOINT_ROWS) -> str:
+        """Runs a pass over what is pending and merges its results into what is stored by then, a batch at a time.
+
+        Batches hold about ``rows`` files, or more of a large library, so that there are MOST_BATCHES of
+        them at most; each is committed, so a failure or ``cancel`` loses one batch and the rest stays pending.
+        ``progress`` events follow each batch and a ``finished`` event the last one.
+        """
         key = (self.root, name)
         if key in _RUNNING:
             raise Busy(f"{name} is already running.")
         _RUNNING.add(key)
+        message, error = "", None
         try:
             self.spark.sparkContext.setJobGroup(self._group(name), f"{name} of {self.root}", True)
-            which = passes.PASSES[name]
+            message = self._run(name, enrich, force, rows)
+            return message
+        except Exception as failure:
+            error = str(failure)
+            raise
+        finally:
+            _RUNNING.discard(key)
+            _CANCELLED.discard(key)
+            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            self.events("finished", {"pass": name, "message": message, "error": error})
+
+    def _run(self, name: str, enrich: Enricher, force: bool, rows: int) -> str:
+        key, which = (self.root, name), passes.PASSES[name]
+        done = total = 0
+        path = f"{self.store.folder}/results-{name}-{self.now().replace(':', '')}"
+        try:
             view = self.scan()
             excluded = list(view.config.excluded_analysis_folders)
             if which.needs_folder:
@@ -220,31 +251,54 @@ class Library:
             else:
                 todo = passes.pending(images, which, excluded, force, config.nsfw_score_threshold)
             once = todo.groupBy("hash").agg(F.max(F.struct("relative_path", "absolute_path", "name")).alias("f")).select("hash", "f.*")
-            path = f"{self.store.folder}/results-{name}-{self.now().replace(':', '')}"
-            enrich(once).write.mode("overwrite").parquet(path)  # inference runs once
-            results = self.spark.read.parquet(path)
-
-            def change(c, r):
-                after = reconcile.merge_columns(r, results, list(which.columns))
-                c = self._with_builtins(c, after)
-                return c, self._rules(c, after)
-
-            self.store.commit(change)
-            if name == "chunk":
-                self.rebuild_plan()
-            n = results.where(F.col(which.marker).isNotNull()).count()
-            self.store.remove(path)
-            return f"{n} analyzed."
+            once.write.mode("overwrite").parquet(f"{path}/todo")
+            once = self.spark.read.parquet(f"{path}/todo")
+            total = once.count()
+            batches = max(1, min(MOST_BATCHES, -(-total // rows)))
+            for nth in range(batches):
+                if key in _CANCELLED:
+                    break
+                part = once.where(F.pmod(F.xxhash64("hash"), F.lit(batches)) == nth) if batches > 1 else once
+                enrich(part).write.mode("overwrite").parquet(f"{path}/{nth}")  # inference runs once
+                results = self.spark.read.parquet(f"{path}/{nth}")
+                self._merge(which, results)
+                done += results.where(F.col(which.marker).isNotNull()).count()
+                self.events("progress", {"pass": name, "done": done, "total": total})
+        except Exception:
+            if key not in _CANCELLED:
+                raise
         finally:
-            _RUNNING.discard(key)
-            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            self.store.remove(path)
+        if name == "chunk" and done:
+            self.rebuild_plan()
+        return f"Cancelled: {done} of {total} analyzed." if key in _CANCELLED else f"{done} analyzed."
+
+    def _merge(self, which: passes.Pass, results: DataFrame) -> None:
+        def change(c, r):
+            after = reconcile.merge_columns(r, results, list(which.columns))
+            c = self._with_builtins(c, after)
+            return c, self._rules(c, after)
+
+        self.store.commit(change)
+
+    def run_queue(self, enrichers: dict[str, Enricher], force: bool = False) -> dict[str, str]:
+        """Runs the passes that have an enricher in their order, one after the other; a cancelled one ends the queue."""
+        said: dict[str, str] = {}
+        for name in passes.QUEUE:
+            if name in enrichers:
+                said[name] = self.run_pass(name, enrichers[name], force)
+                if said[name].startswith("Cancelled"):
+                    break
+        return said
 
     def _group(self, name: str) -> str:
         return f"lumenframe {self.root} {name}"
 
     def cancel(self, name: str) -> None:
-        """Ends a running pass's jobs; what earlier commits merged stays, the rest stays pending."""
-        self.spark.sparkContext.cancelJobGroup(self._group(name))
+        """Ends a running pass after what it has committed; the batch that runs is given up and stays pending."""
+        if (self.root, name) in _RUNNING:
+            _CANCELLED.add((self.root, name))
+            self.spark.sparkContext.cancelJobGroup(self._group(name))
 
     def run_vision(self, make_client, encode, settings: documents.Settings, prompt: str, force: bool = False) -> str:
         """Describes eligible images, writes their documents and the index, and says how many failed or were skipped."""
@@ -267,10 +321,10 @@ class Library:
         skipped = {r.reason: r.n for r in self._skips().collect()}
         self.run_pass("vision", enrich, force)
         self.write_index()
-        total = asked[0].count() if asked else 0
+        total = sum(x.count() for x in asked)
         if not total:
             return text.skip_notes(skipped.get("unscored", 0), skipped.get("explicit", 0), skipped.get("video", 0))
-        failures = asked[0].where("description is null").count()
+        failures = sum(x.where("description is null").count() for x in asked)
         for path in paths_used:
             self.store.remove(path)
         return text.described_summary(total - failures, failures, endpoint)
@@ -310,11 +364,11 @@ class Library:
         name = paths.check_name(target_folder)
         found = files.import_sources(sources)
         if not found:
-            raise ValueError("Nothing to import — no image files were found.")
+            raise ValueError("None of the dropped files is an image.")
         inside = [p for p in found if Path(os.path.abspath(p)).is_relative_to(self.root)]
         copies = [p for p in found if p not in inside]
         if not copies:
-            raise ValueError("Everything you dropped is already in this library.")
+            raise ValueError("All dropped images lie inside this library.")
         target = Path(self.root, name)
         fresh = not target.is_dir()
         target.mkdir(exist_ok=True)
@@ -337,9 +391,9 @@ class Library:
         """Moves one file into a folder of the root; its record follows only if it was of that very file."""
         root, source = Path(self.root).resolve(), Path(self.root, relative_path)
         if not source.resolve().is_file():
-            raise ValueError("Source file no longer exists at the known path.")
+            raise ValueError(f"{relative_path} is not there any more")
         if not source.resolve().is_relative_to(root):
-            raise ValueError("That image is not inside the library root.")
+            raise ValueError(f"{relative_path} lies outside the root")
         target = root / paths.check_name(target_folder)
         target.mkdir(exist_ok=True)
         source = source.resolve()

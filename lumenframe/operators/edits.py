@@ -43,8 +43,18 @@ def toggled(items: Column, item: Column, present: Column) -> Column:
     return F.when(present, F.when(F.array_contains(items, item), items).otherwise(F.array_append(items, item))).otherwise(F.array_remove(items, item))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def same_name(a: Column, b: Column) -> Column:
-    return F.lower(a) == F.lower(b)
+    """Names are the same if they differ in the case of ASCII letters alone."""
+    return F.translate(a, _UPPER, _LOWER) == F.translate(b, _UPPER, _LOWER)
+
+
+def is_same_name(a: str, b: str) -> bool:
+    """same_name of two strings."""
+    table = str.maketrans(_UPPER, _LOWER)
+    return a.translate(table) == b.translate(table)
 
 
 def move_to_front(items: list[str], item: str) -> list[str]:

@@ -89,7 +89,7 @@ def vision_eligible(view: DataFrame, plan: DataFrame | None, excluded: list[str]
 
 def folder_gate(any_folders: bool, any_included: bool) -> str | None:
     """The message that ends a text or extraction pass early, if none of the folders is included."""
-    return "No source folders are included in analysis." if any_folders and not any_included else None
+    return "All source folders are excluded from analysis." if any_folders and not any_included else None
 
 
 def run_pass(records: DataFrame, todo: DataFrame, which: Pass, enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SAMPLES_PER_GROUP
 from ..functions.text import group_key
 
 
-def sampled(n: int = SAMPLES_PER_GROUP) -> Column:
-    """Whether a row is of its group's sample: the n smallest MD5s of its hash."""
-    return F.row_number().over(Window.partitionBy("key").orderBy(F.md5("hash"), "hash")) <= max(n, 1)
+#: Parts of a group that are ranked apart, so that no task sorts a whole group.
+PARTS = 64
+
+
+def sampled(marked: DataFrame, n: int = SAMPLES_PER_GROUP) -> DataFrame:
+    """(key, selected_hashes) of ``marked(key, hash)``: the hashes with the n smallest MD5s, sorted.
+
+    Each part of a group keeps its n smallest, and the n smallest of these are the group's.
+    """
+    own = Window.partitionBy("key", "part").orderBy("m", "hash")
+    first = marked.select("key", "hash", F.md5("hash").alias("m"), F.pmod(F.xxhash64("hash"), F.lit(PARTS)).alias("part"))
+    first = first.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= max(n, 1))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("m", "hash"))), 1, max(n, 1))
+    return first.groupBy("key").agg(F.array_sort(F.transform(best, lambda x: x["hash"])).alias("selected_hashes"))
 
 
 def groups(titled: DataFrame) -> DataFrame:
@@ -26,15 +37,12 @@ def build_plan(titled: DataFrame, n: int = SAMPLES_PER_GROUP, previous: DataFram
     A group whose ``previous(title, selected_hashes)`` selection still has a member keeps just what is
     left of it, in its order, neither topped up nor cut; with ``force``, and otherwise, the sample
     counts.  The title is that of the smallest hash; of previous groups with one key the one with the
-    largest title counts.  Sampling ranks and collects in separate aggregations, so a group's rows
-    spread over tasks until its member list is made, which holds all of them by its contract.
+    largest title counts.  The sample is taken from parts of a group; only its member list holds all
+    of it, by its contract.
     """
-    marked = groups(titled).withColumn("chosen", sampled(n))
-    plan = marked.groupBy("key").agg(
-        F.min_by("title", "hash").alias("title"),
-        F.array_sort(F.collect_set("hash")).alias("member_hashes"),
-        F.array_sort(F.collect_set(F.when(F.col("chosen"), F.col("hash")))).alias("selected_hashes"),
-    )
+    marked = groups(titled)
+    members = marked.groupBy("key").agg(F.min_by("title", "hash").alias("title"), F.array_sort(F.collect_list("hash")).alias("member_hashes"))
+    plan = members.join(sampled(marked, n), "key").select("key", "title", "member_hashes", "selected_hashes")
     if previous is None or force:
         return plan
     old = previous.withColumn("key", group_key(F.col("title"))).groupBy("key").agg(F.max_by("selected_hashes", "title").alias("before"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import FOLDER_PATTERNS
@@ -135,20 +135,33 @@ def search_sort_size(spark, d):
     return found.orderBy(*shown.order("size")).select("relative_path", "name", "size")
 
 
-@query("SELECT relative_path, name, modified_ms FROM files ORDER BY modified_ms DESC, name, relative_path LIMIT 60 OFFSET 40", (V.FILES_SQL,))
+def _placed(rows: DataFrame, kind: str, start: int) -> DataFrame:
+    """The few rows of a viewport with their places, so that their order is compared too."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*shown.order(kind))).cast("long") + start)
+
+
+@query("SELECT relative_path, name, modified_ms, row_number() OVER (ORDER BY modified_ms DESC, name, relative_path) AS place FROM files ORDER BY place LIMIT 60 OFFSET 40", (V.FILES_SQL,))
 def viewport_slice(spark, d):
-    return shown.viewport(V.files(spark, d), "library", 40, 100).select("relative_path", "name", "modified_ms")
+    return _placed(shown.viewport(V.files(spark, d), "library", 40, 100), "library", 40).select("relative_path", "name", "modified_ms", "place")
+
+
+@query("SELECT relative_path, name, row_number() OVER (ORDER BY modified_ms DESC, CAST(regexp_extract(name, '[0-9]+') AS BIGINT), relative_path) AS place FROM files ORDER BY place LIMIT 80", (V.FILES_SQL,))
+def viewport_newest(spark, d):
+    return _placed(shown.viewport(V.files(spark, d), "newest", 0, 80), "newest", 0).select("relative_path", "name", "place")
 
 
-@query("SELECT relative_path, size FROM files ORDER BY size DESC, CAST(regexp_extract(name, '[0-9]+') AS BIGINT), relative_path LIMIT 50 OFFSET 10", (V.FILES_SQL,))
+@query("SELECT relative_path, name, row_number() OVER (ORDER BY CAST(regexp_extract(name, '[0-9]+') AS BIGINT), relative_path) AS place FROM files ORDER BY place LIMIT 100 OFFSET 5", (V.FILES_SQL,))
+def viewport_by_name(spark, d):
+    return _placed(shown.viewport(V.files(spark, d), "name", 5, 105), "name", 5).select("relative_path", "name", "place")
+
+
+@query("SELECT relative_path, size, row_number() OVER (ORDER BY size DESC, CAST(regexp_extract(name, '[0-9]+') AS BIGINT), relative_path) AS place FROM files ORDER BY place LIMIT 50 OFFSET 10", (V.FILES_SQL,))
 def viewport_by_size(spark, d):
-    return shown.viewport(V.files(spark, d), "size", 10, 60).select("relative_path", "size")
+    return _placed(shown.viewport(V.files(spark, d), "size", 10, 60), "size", 10).select("relative_path", "size", "place")
 
 
 @query("SELECT name, row_number() OVER (ORDER BY lower(name), name) AS place FROM categories", (CATEGORIES_SQL,))
 def categories_sorted(spark, d):
-    from pyspark.sql import Window
-
     names = V.names(spark, V.CATEGORIES)  # a handful of names
     return names.select("name", F.row_number().over(Window.orderBy(F.lower("name"), "name")).cast("long").alias("place"))
 

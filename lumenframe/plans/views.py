@@ -104,14 +104,14 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """54 values of each vector: three anchors of 18 classes."""
+    """The values of each vector as anchors of 18 classes, the last anchor cut short."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("hash"), F.posexplode("embedding").alias("pos", "x"))
-    return e.where("pos < 54").select("hash", F.expr("pos div 18").cast("int").alias("anchor"), (F.col("pos") % 18).alias("class"), F.abs("x").alias("score"))
+    return e.select("hash", F.expr("pos div 18").cast("int").alias("anchor"), (F.col("pos") % 18).alias("class"), F.abs("x").alias("score"))
 
 
 DETECTIONS_SQL = """detections AS (
   SELECT hash, CAST((i - 1) // 18 AS INTEGER) AS anchor, CAST((i - 1) % 18 AS INTEGER) AS class, abs(x) AS score
-  FROM (SELECT CAST(vec_id AS VARCHAR) AS hash, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE i <= 54)"""
+  FROM (SELECT CAST(vec_id AS VARCHAR) AS hash, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))"""
 
 
 def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

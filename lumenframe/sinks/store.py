@@ -26,8 +26,10 @@ def lock(name: str) -> threading.RLock:
 class RecordStore:
     """Records and configuration of a library in a folder of any store that Spark writes to.
 
-    A commit writes a new version next to the one it was read from and then replaces the pointer, so
-    readers see whole versions only and a failed job leaves the old one.
+    A commit writes a new version next to the one it was read from and then a pointer to it, whose name
+    has the next number; the largest number counts and older pointers go afterwards.  So readers see
+    whole versions only, and a job that fails at any moment leaves the last one.  Of two drivers that
+    commit at once the second finds its number taken and fails.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
@@ -37,43 +39,59 @@ class RecordStore:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
+    def _numbers(self) -> list[int]:
+        fs, path = self._fs(self.folder)
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        found = sorted(int(n.removeprefix("CURRENT-")) for n in names if n.startswith("CURRENT-"))
+        if not found and any(n.startswith("records-") for n in names):
+            raise ValueError(f"{self.folder} has records but no pointer to them")
+        return found
+
     def _pointer(self) -> dict | None:
-        fs, path = self._fs(f"{self.folder}/CURRENT")
-        if not fs.exists(path):
+        numbers = self._numbers()
+        if not numbers:
             return None
+        fs, path = self._fs(f"{self.folder}/CURRENT-{numbers[-1]:012d}")
         stream = fs.open(path)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode()) | {"number": numbers[-1]}
         finally:
             stream.close()
 
     def _point(self, value: dict) -> None:
-        fs, path = self._fs(f"{self.folder}/CURRENT")
+        """Publishes the pointer that follows ``value['number']``, and removes those before it."""
+        number = value.get("number", 0) + 1
+        fs, path = self._fs(f"{self.folder}/CURRENT-{number:012d}")
         _, fresh = self._fs(f"{self.folder}/.CURRENT-{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
         try:
-            out.write(bytearray(json.dumps(value).encode()))
+            out.write(bytearray(json.dumps({k: v for k, v in value.items() if k != "number"}).encode()))
         finally:
             out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+        if fs.exists(path) or not fs.rename(fresh, path):
+            fs.delete(fresh, False)
+            raise RuntimeError(f"{self.folder} was changed by another driver")
+        for old in self._numbers():
+            if old < number:
+                self.remove(f"{self.folder}/CURRENT-{old:012d}")
 
     def read(self) -> tuple[Config, DataFrame]:
         found = self._pointer()
-        if found is None:
+        if found is None or "version" not in found:
             return Config(), self.spark.createDataFrame([], struct(RECORDS))
         return Config.from_json(found["config"]), self.spark.read.schema(RECORDS).parquet(f"{self.folder}/{found['version']}")
 
     def commit(self, change: Callable[[Config, DataFrame], tuple[Config, DataFrame]]) -> tuple[Config, DataFrame]:
         """Applies a change to what is stored now, writes it and returns it as written."""
         with lock(self.folder):
-            before = self._pointer() or {"past": []}
+            if self._pointer() is None:
+                self._point({"past": []})  # before any records, so that records without a pointer are an error
+            before = self._pointer()
             config, records = change(*self.read())
             version = f"records-{uuid.uuid4().hex}"
             records.select("hash", *RECORD_COLUMNS).write.parquet(f"{self.folder}/{version}")
             past = [*before.get("past", []), *([before["version"]] if "version" in before else [])]
-            self._point({"version": version, "config": config.to_json(), "past": past[-self.keep :]})
+            self._point({"number": before["number"], "version": version, "config": config.to_json(), "past": past[-self.keep :]})
             for old in past[: -self.keep]:
                 self.remove(f"{self.folder}/{old}")
             return self.read()
@@ -87,7 +105,7 @@ class RecordStore:
         """Changes the configuration alone; no records are rewritten."""
         with lock(self.folder):
             found = self._pointer()
-            if found is None:
+            if found is None or "version" not in found:
                 return self.commit(lambda c, r: (change(c), r))[0]
             config = change(Config.from_json(found["config"]))
             self._point({**found, "config": config.to_json()})

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import AREA_THRESHOLD, SCORE_THRESHOLD, WORD_THRESHOLD, Names
+from ..functions.numbers import tile_size
 from ..functions.paths import check_time
 from ..operators.edits import move_to_front
 from ..operators.passes import SCHEDULED
@@ -42,6 +43,10 @@ class Config:
         return Config(**{k: tuple(v) if isinstance(v, list) else v for k, v in known.items()})
 
 
+#: Fixed value: the edge of a tile that was never set.
+DEFAULT_TILE_SIZE = 168
+
+
 @dataclass(frozen=True)
 class Settings:
     """Engine settings that aren't a library's: where descriptions come from and what a scheduled refresh does."""
@@ -54,6 +59,8 @@ class Settings:
     auto_refresh_roots: tuple[str, ...] = ()
     auto_refresh_passes: tuple[str, ...] = ()
     last_auto_refresh_summary: str | None = None
+    tile_size: int = DEFAULT_TILE_SIZE
+    dark_mode: bool = True
     extra: dict = field(default_factory=dict)
 
 
@@ -83,6 +90,26 @@ def remember_root(settings: Settings, root: str) -> Settings:
     return replace(settings, known_roots=tuple(move_to_front(list(settings.known_roots), root)))
 
 
+def with_vision(settings: Settings, endpoint: str, model: str) -> Settings:
+    """Where descriptions come from; blank ones stand for the defaults."""
+    return replace(settings, vision_endpoint=endpoint.strip(), vision_model=model.strip())
+
+
+def with_tile_size(settings: Settings, size: int) -> Settings:
+    return replace(settings, tile_size=tile_size(size))
+
+
+def with_dark_mode(settings: Settings, on: bool) -> Settings:
+    return replace(settings, dark_mode=bool(on))
+
+
+def choose_root(settings: Settings, root: str) -> Settings:
+    """Checks a root that a user chose and remembers it first."""
+    if not os.path.isdir(root):
+        raise ValueError(f"{root} is no folder")
+    return remember_root(settings, os.path.abspath(root))
+
+
 def with_auto_refresh(settings: Settings, enabled: bool, at: str, roots: list[str], passes: list[str]) -> Settings:
     """Checked settings of the scheduled refresh: known roots that exist, at a time of day."""
     known = tuple(r for r in roots if r in settings.known_roots and os.path.isdir(r))

@@ -20,6 +20,10 @@ from .legacy import content_hash
 SCANNED = "relative_path string, absolute_path string, name string, source_folder string, is_root boolean, size bigint, modified_ms bigint"
 
 
+#: Rows of a flat folder that a task hands on at a time.
+SCAN_ROWS = 5000
+
+
 def is_image_name(name: str) -> bool:
     head, dot, ext = name.rpartition(".")
     return bool(head and dot) and ext.lower() in IMAGE_EXTENSIONS
@@ -59,16 +63,25 @@ def _walk(folder: str, depth: int, most: int) -> Iterator[os.DirEntry]:
 def scan(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
     """Image files of the root itself and, MAX_SCAN_DEPTH levels deep, of its source folders; no content is read.
 
-    Each source folder's direct children are walked as tasks of their own.  The root must be mounted
-    on all executors; ``scan_store`` lists any other store.
+    Tasks list the source folders, and each direct child is walked as a task of its own.  The root must
+    be mounted on all executors; ``scan_store`` lists any other store.
     """
     base = os.path.abspath(root)
-    starts = [("", ROOT, True, -1)]
-    for f in folders:
-        starts.append((f, f, False, 0))
-        starts += [(f"{f}/{e.name}", f, False, 1) for e in os.scandir(f"{base}/{f}") if e.is_dir() and not e.name.startswith(".")]
-    tasks = spark.createDataFrame(starts, "start string, folder string, is_root boolean, depth int")
-    tasks = tasks.repartition(max(1, min(len(starts), spark.sparkContext.defaultParallelism * 4)))
+    columns = ["start", "folder", "is_root", "depth"]
+    starts = "start string, folder string, is_root boolean, depth int"
+
+    def children(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["folder"]:
+                below = [e.name for e in os.scandir(f"{base}/{folder}") if e.is_dir() and not e.name.startswith(".")]
+                yield pd.DataFrame([(folder, folder, False, 0), *((f"{folder}/{n}", folder, False, 1) for n in below)], columns=columns)
+
+    tasks = spark.createDataFrame([("", ROOT, True, -1)], starts)
+    if folders:
+        listed = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), spark.sparkContext.defaultParallelism * 4))
+        tasks = tasks.unionByName(listed.mapInPandas(children, starts))
+    tasks = tasks.repartition(spark.sparkContext.defaultParallelism * 4)
+    named = ["relative_path", "absolute_path", "name", "source_folder", "is_root", "size", "modified_ms"]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -81,8 +94,11 @@ def scan(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
                     stat = e.stat()
                     path = os.path.relpath(e.path, base).replace("\\", "/")
                     rows.append((path, e.path, e.name, folder, at_root, stat.st_size, max(0, stat.st_mtime_ns // 1_000_000)))
+                    if len(rows) == SCAN_ROWS:
+                        yield pd.DataFrame(rows, columns=named)
+                        rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=["relative_path", "absolute_path", "name", "source_folder", "is_root", "size", "modified_ms"])
+                    yield pd.DataFrame(rows, columns=named)
 
     return tasks.mapInPandas(run, SCANNED)
 
@@ -91,7 +107,7 @@ def scan_store(spark: SparkSession, root_uri: str) -> DataFrame:
     """The same columns of a store that only Spark lists; Spark skips names with a leading underscore too."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_uri).select("path", "length", "modificationTime")
     base = root_uri.split("://", 1)[-1].rstrip("/")
-    rel = slashes(F.regexp_replace("path", "^.*?" + base.replace(".", r"\.") + "/", ""))
+    rel = slashes(F.substring(F.col("path"), F.instr("path", F.lit(base + "/")) + len(base) + 1, F.length("path")))
     from ..functions.paths import depth_below_folder, hidden, source_folder
 
     rows = listed.withColumn("relative_path", rel).where(~hidden(F.col("relative_path")) & (depth_below_folder(F.col("relative_path")) <= MAX_SCAN_DEPTH))

@@ -98,7 +98,7 @@ def detected(files: DataFrame, make_model: Callable[[], Callable[[np.ndarray], n
                 try:
                     found = np.asarray(model(letterboxed(decode(path))))
                     if found.ndim < 3 or found.shape[1] < 4 + n:
-                        raise ValueError(f"Unexpected model output shape: {found.shape}")
+                        raise ValueError(f"the model gave an array of shape {found.shape}, not (1, {4 + n} or more, anchors)")
                     best = np.fmax.reduce(found[0, 4 : 4 + n], axis=1, initial=0.0)
                     rows += [(h, k, float(best[k]), None) for k in range(n)]
                 except Exception as error:  # noqa: BLE001

@@ -126,3 +126,20 @@ def test_messages():
     assert text.skip_notes(1, 0, 2) == "Nothing to describe. Skipped: 1 not yet Explicit-analyzed (run Explicit first), 2 deduped video frames."
     assert text.skip_notes(0, 0, 0) == "No images needed description."
     assert text.described_summary(1, 2, "e") == "Described 1 image. 2 failed (see logs; endpoint e)."
+
+
+def test_natural_order_of_long_numbers(spark):
+    from lumenframe.functions.text import natural_key
+
+    names = ["img" + "2" + "0" * 20 + ".png", "img" + "1" + "0" * 24 + ".png", "img007.png", "img10.png", "img1" + "0" * 30 + ".png"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [r.name for r in rows.orderBy(natural_key(rows.name)).collect()]
+    assert got == sorted(names, key=lambda n: int(n[3:-4]))
+
+
+def test_many_legacy_hashes_are_those_of_one(spark):
+    from lumenframe.sources.legacy import siphash13, siphash13_many
+
+    blocks = [bytes(range(n % 256)) * (1 + n % 3) for n in (0, 1, 7, 8, 9, 15, 16, 63, 64, 200, 255, 7)]
+    assert siphash13_many(blocks).tolist() == [siphash13(x) for x in blocks]
+    assert siphash13(bytes(range(15))) == siphash13_many([bytes(range(15))])[0] and len(siphash13_many([])) == 0

@@ -119,7 +119,7 @@ def test_passes_plan_and_vision(library):
     library.include_folder("2026-01", False)
     library.include_folder("2026-02", False)
     library.include_folder("Root", False)
-    assert library.run_pass("extract", described, True) == "No source folders are included in analysis."
+    assert library.run_pass("extract", described, True) == "All source folders are excluded from analysis."
     library.include_folder("Root", True)
     assert set(r.relative_path for r in library.scan().search(query="PNG").collect()) == {"root.PNG", "_u.png"}
     library.discard_plan()
@@ -264,3 +264,110 @@ def test_settings_and_progress(library, spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert max(e for e in events if e is not None) == 2 and events[-1] is None
+
+
+def test_images_stream_under_the_hashes_of_scans(library, spark, tmp_path):
+    from lumenframe.streaming.incremental import stream_images
+
+    before = {r.hash for r in library.scan().images.collect()}
+    scores = lambda todo: todo.select("hash", F.lit(0.7).cast("float").alias("nsfw_score"), F.array(F.col("name")).alias("nsfw_labels"))
+    stream_images(spark, f"{library.root}/2026-01", scores, PASSES["nsfw"], library.store, str(tmp_path / "ck"), "now").awaitTermination()
+    rows = [r for r in library.store.read()[1].collect() if r.nsfw_score is not None]
+    assert {r.hash for r in rows} <= before and {x for r in rows for x in r.nsfw_labels} & {"x.HEIC", "copy.png"} and len(rows) == 2
+    assert all(r.category == "Explicit" for r in rows)
+
+
+def test_a_crash_between_version_and_pointer_leaves_the_last_version(library, monkeypatch):
+    library.scan()
+    library.create_category("Cats")
+    config, records = library.store.read()
+    want = sorted(map(str, records.collect()))
+    monkeypatch.setattr(sinks.RecordStore, "_point", lambda self, value: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        library.store.commit(lambda c, r: (c, r.limit(0)))
+    monkeypatch.undo()
+    monkeypatch.setattr(sinks.RecordStore, "remove", lambda self, path: None)  # a crash before old pointers go
+    library.create_category("Dogs")
+    monkeypatch.undo()
+    after, records = library.store.read()
+    assert after.categories == ("Cats", "Dogs") and sorted(map(str, records.collect())) == want
+    folder = Path(library.store.folder.removeprefix("file://"))
+    for path in folder.glob("CURRENT-*"):
+        path.unlink()
+    with pytest.raises(ValueError):
+        library.store.read()
+
+
+def test_a_second_driver_cannot_take_the_same_number(library, spark):
+    library.scan()
+    other = sinks.RecordStore(spark, library.store.folder)
+    stale = other._pointer()
+    library.create_category("Cats")
+    with pytest.raises(RuntimeError):
+        other._point(stale)
+    assert library.store.read()[0].categories == ("Cats",)
+
+
+def test_passes_commit_each_batch_and_cancel_keeps_them(library):
+    heard = []
+    library.events = lambda kind, what: heard.append((kind, what))
+    scores = lambda todo: todo.select("hash", F.lit(0.1).cast("float").alias("nsfw_score"), F.array().cast("array<string>").alias("nsfw_labels"))
+    calls = []
+
+    def cancelled(todo):
+        calls.append(todo.count())
+        if len(calls) == 3:
+            library.cancel("nsfw")
+        return scores(todo)
+
+    said = library.run_pass("nsfw", cancelled, rows=1)
+    stored = [r for r in library.store.read()[1].collect() if r.nsfw_score is not None]
+    assert said == f"Cancelled: {len(stored)} of 5 analyzed." and sum(calls[:2]) <= len(stored) < 5
+
+    def fails(todo):
+        if todo.count() and any(k == "progress" for k, _ in heard[2:]):
+            raise OSError("no model")
+        return scores(todo)
+
+    with pytest.raises(OSError):
+        library.run_pass("nsfw", fails, rows=1)
+    assert heard[-1][0] == "finished" and "no model" in heard[-1][1]["error"]
+    said = library.run_queue({"extract": lambda t: t.select("hash", F.lit(3).alias("ocr_text_chars")), "nsfw": scores})
+    assert list(said) == ["nsfw", "extract"]
+    assert all(r.nsfw_score is not None and r.ocr_text_chars == 3 for r in library.store.read()[1].collect())
+
+
+def test_scans_make_thumbnails_and_show_them(spark, library):
+    def shrink(source, target):
+        if source.endswith("root.PNG"):
+            raise OSError("broken")
+        shutil.copyfile(source, target)
+
+    other = Library(spark, library.root, shrink=shrink)
+    rows = found(other.scan())
+    assert rows["root.PNG"].thumbnail is None
+    assert Path(rows["2026-01/x.HEIC"].thumbnail).read_text() == "x" == Path(rows["2026-01/copy.png"].thumbnail).read_text()
+    assert found(other.scan())["2026-01/x.HEIC"].thumbnail == rows["2026-01/x.HEIC"].thumbnail
+
+
+def test_names_differ_beyond_ascii(library):
+    library.scan()
+    library.create_category("ÄRGER")
+    library.create_category("ärger")
+    with pytest.raises(ValueError):
+        library.create_category("ÄRGEr")
+
+
+def test_settings_of_the_view(tmp_path):
+    settings = documents.with_dark_mode(documents.with_tile_size(documents.with_vision(Settings(), " http://x ", " m "), 9999), False)
+    assert (settings.vision_endpoint, settings.vision_model, settings.tile_size, settings.dark_mode) == ("http://x", "m", 280, False)
+    assert documents.choose_root(settings, str(tmp_path)).known_roots[0] == str(tmp_path)
+    with pytest.raises(ValueError):
+        documents.choose_root(settings, str(tmp_path / "none"))
+
+
+def test_roots_may_have_any_characters(spark, tmp_path):
+    root = tmp_path / "a (1)+[x]"
+    (root / "2026-01").mkdir(parents=True)
+    (root / "2026-01/p.png").write_text("p")
+    assert [r.relative_path for r in files.scan(spark, str(root), ["2026-01"]).collect()] == ["2026-01/p.png"]
