@@ -1,17 +1,21 @@
-"""SimHash near-dedup at a shingle similarity: fingerprints of five-word shingle sets compared within a wide radius, then the sets.
-
-Sets of similarity 0.8 or more have fingerprints that differ in 15 % of their bits (16 % at most for sets
-of FEW or more).  With WIDE 64-bit words RADIUS leaves out such a pair with a probability of about 1e-9 and
-keeps most pairs below 0.6 from being compared.  No bit field is long enough to file
-fingerprints under at that radius.  What is filed instead are the minima
-of 128 hashes over a set, in 32 bands of four; two sets of similarity 0.8 share no band with a probability
-of (1 - 0.8 ** 4) ** 32, about 5e-8, and more similar ones with less.
-
-Texts with the same set are taken together first.  Of every band value all members are compared with
-its hub, the member that shares most band values with others and so is the likeliest middle of a group, by
-set sizes, by exclusive-or and bit counts of the fingerprints and then by the sets.  So a group of near
-copies around a common text costs a pair a member.  What links remain can only be between members of
-band values that still have several classes.  Of those texts the rarest shingles are filed: of two sets of
+"""SimHash near-dedup at a shingle similarity: fingerprints of five-word shingle sets compared in tiles within a wide radius, then the sets.
+
+Sets of similarity 0.8 or more have fingerprints that differ in 15 % of their bits (16 % at most for sets of
+six or more, 19 % for sets of five and four).  With WIDE 64-bit words, RADIUS leaves out such a pair with a
+probability of about 1e-7 for sets of five and four and 1e-11 for others, FIRST (the bound for the first two
+words, which are compared before the others) with 3e-8 and 1e-10.  No bit field is long enough to file
+fingerprints under at that radius, so the fingerprints of all different sets are compared: sorted by set
+size and population count, cut into tiles and blocks, and compared by exclusive-or and bit counts unless
+sizes say that two blocks can't hold a similar pair (a set of less than 0.8 times the size never is) or
+population counts differ by more than the radius.  Tile pairs are dealt out as tasks; a task emits a spanning
+forest of its links and how many each fingerprint has, never all pairs.  Work grows with the square of the
+number of fingerprints of about one size.
+
+The exact check follows inside the classes that these links connect.  Of a class of up to SMALL sets all
+pairs within the radius are compared as sets; of a larger one all members with its hub, the one with most
+links and so the likeliest middle of a group, so that a group of near copies around a common text costs a
+pair a member.  What links remain can only be between members of larger classes that still fall apart.
+Of those texts the rarest shingles are filed: of two sets of
 n shingles or fewer whose similarity is 0.8 or more, some shingle is among the rarest fifth of both, and
 the first such one so early that enough others can follow (the prefix and positional filters of set
 joins, which are exact in any order that all sets share); so texts that share a frequent passage alone
@@ -33,61 +37,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash import ROW, majority, shingle_hashes
+from .simhash import ROW, majority, settle, shingle_hashes
 from .storage import Table, join_keyed
 from .words import blocks, map_texts, mix
 
 SHINGLE = 5
 SIMILAR = 0.8
-WIDE = 16
-RADIUS = 232
-FEW = 8
-BANDS = 32
-BAND_ROWS = 4
+WIDE = 8
+RADIUS = 144
+FIRST = 50
+#: Rows of a tile at most and at least, how many tiles there should be, and rows of a block inside one.
+TILE_ROWS, LEAST_ROWS, TILES = 32768, 2048, 12
+STEP = 512
+SMALL = 8
 #: Places that shingles are counted in, and the parts those counts travel in.
 PLACES = 1 << 24
 PARTS = 256
 #: Bits of the filter of rows whose texts are asked for.
 ASKED_BITS = 1 << 27
-_SEEDS = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64))
-
-
-def bands(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Per non-empty group of hashes one number a band, equal if the band's minima are."""
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    if not len(starts):
-        return out
-    for band in range(BANDS):
-        key = np.full(len(starts), band, np.uint64)
-        for row in range(BAND_ROWS):
-            seed = 2 * (band * BAND_ROWS + row)
-            mixed = (hashes ^ _SEEDS[seed]) * (_SEEDS[seed + 1] | np.uint64(1))
-            mixed ^= mixed >> np.uint64(32)
-            key = mix(key + np.minimum.reduceat(mixed, starts))
-        out[:, band] = key
-    return out
+_SEEDS = mix(np.arange(1, WIDE + 1, dtype=np.uint64))
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """(row, digest and size of the text's set of shingles, its wide SimHash, bands) of ``rows(row, text)``; no bands without words."""
+    """(row, digest and size of the text's set of shingles, its wide SimHash) of ``rows(row, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                bounds, hashes = shingle_hashes(part.column("text"), SHINGLE)
-                sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                sets = _sets(part.column("text"))
                 digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
                 sizes = np.array([len(x) for x in sets], np.int64)
                 bounds, hashes = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(sets)
-                wide = np.stack([majority(bounds, hashes if k == 0 else mix(hashes ^ _SEEDS[k])) for k in range(WIDE)], axis=1).reshape(-1).view(np.int64)
-                wide = pa.ListArray.from_arrays(pa.array(np.arange(0, len(wide) + 1, WIDE, dtype=np.int32)), pa.array(wide))
-                full = np.diff(bounds) > 0
-                ends = np.concatenate(([0], np.cumsum(full) * BANDS)).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(bounds, hashes).reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(digests, pa.binary()), pa.array(sizes), wide, listed], ["row", "digest", "size", "fp", "bands"])
+                wide = np.stack([majority(bounds, hashes if k == 0 else mix(hashes ^ _SEEDS[k])) for k in range(WIDE)], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(digests, pa.binary()), pa.array(sizes), _listed(wide)], ["row", "digest", "size", "fp"])
+
+    return map_texts(rows, run, "row long, digest binary, size long, fp array<long>")
+
+
+def _listed(wide: np.ndarray) -> pa.Array:
+    """Rows of WIDE words as a column of arrays."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, WIDE, dtype=np.int32)), pa.array(wide.reshape(-1).view(np.int64)))
+
+
+def tile_pairs(counts: list[tuple[int, int, int, int]], similar: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bool]]]:
+    """Tiles of rows of similar set sizes, from (level, least size, largest size, number of rows) of ascending levels.
+
+    Returns (level, its first tile, among how many tiles its rows are dealt) and (tile, pair, whether it is
+    the second of that pair) of all pairs of tiles that may hold a similar pair, each tile with itself included.
+    """
+    most = min(TILE_ROWS, max(LEAST_ROWS, -(-sum(n for *_, n in counts) // TILES)))
+    places, spans, held = [], [], most + 1
+    for level, low, high, n in counts:
+        subs = max(1, -(-n // most))
+        if subs == 1 and held + n <= most:
+            spans[-1], held = (spans[-1][0], high), held + n
+        else:
+            spans += [(low, high)] * subs
+            held = n if subs == 1 else most + 1
+        places.append((level, len(spans) - subs, subs))
+    out = []
+    for i, (_, high) in enumerate(spans):
+        for j in range(i, len(spans)):
+            if high < similar * spans[j][0]:
+                break
+            out += [(i, len(out), False)] + [(j, len(out), True)] * (i < j)
+    return places, out
+
+
+def tile_forest(fp: np.ndarray, sizes: np.ndarray, second: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, least, degree): positions with links, the position that names each one's class, its number of links.
+
+    Linked are rows of ``fp`` within RADIUS bits whose sets have similar ``sizes``; where ``second`` holds for
+    some rows, only those are compared with the others.
+    """
+    bits = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    halves = [np.flatnonzero(~second), np.flatnonzero(second)] if second.any() else [np.arange(len(fp))]
+    tiles = []
+    for half in halves:
+        half = half[np.lexsort((bits[half], sizes[half]))]
+        tiles.append([half[k : k + STEP] for k in range(0, len(half), STEP)])
+    columns, room = np.ascontiguousarray(fp.T), np.empty(STEP * STEP, np.uint64)
+    names, degree = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+    ranges = {int(t[0]): (sizes[t[0]], sizes[t[-1]], bits[t].min(), bits[t].max()) for tile in tiles for t in tile}
+    for x, left in enumerate(tiles[0]):
+        least, most, few, many = ranges[int(left[0])]
+        near = columns[:, left]
+        for y, right in enumerate(tiles[0][x:] if len(tiles) == 1 else tiles[1]):
+            low, high, fewer, more = ranges[int(right[0])]
+            if most < similar * low or high < similar * least or fewer - many > RADIUS or few - more > RADIUS:
+                continue
+            far = columns[:, right]
+            part = room[: len(left) * len(right)].reshape(len(left), len(right))
+            apart = np.bitwise_count(np.bitwise_xor(near[0][:, None], far[0], out=part))
+            apart += np.bitwise_count(np.bitwise_xor(near[1][:, None], far[1], out=part))
+            i, j = np.divmod(np.flatnonzero(apart <= FIRST), len(right))
+            if len(tiles) == 1 and not y:
+                i, j = i[i < j], j[i < j]
+            p, q = sizes[left[i]], sizes[right[j]]
+            alike = np.minimum(p, q) >= similar * np.maximum(p, q)
+            i, j = i[alike], j[alike]
+            close = np.bitwise_count(near[:, i] ^ far[:, j]).sum(axis=0, dtype=np.int64) <= RADIUS
+            i, j = left[i[close]], right[j[close]]
+            if len(i):
+                degree += np.bincount(np.concatenate((i, j)), minlength=len(fp))
+                settle(names, i, j)
+    found = np.flatnonzero(degree)
+    return found, names[found], degree[found]
+
+
+def _links(reps: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) among ``reps(node, size, fp)`` whose closure is that of all fingerprints within RADIUS.
+
+    b is each linked node once a tile pair, with its number ``n`` of links there, its size and fingerprint.
+    """
+    spark = reps.sparkSession
+    # Texts without words are one node. A level is a hundredth of the powers of two, so there are some thousands at most.
+    reps = reps.where("size > 0").withColumn("level", F.floor(F.log2("size") * 100).cast("int"))
+    counts = reps.groupBy("level").agg(F.min("size"), F.max("size"), F.count("*")).collect()
+    places, pairs = tile_pairs(sorted(tuple(r) for r in counts), similar)
+    placed = reps.join(F.broadcast(spark.createDataFrame(places, "level int, first int, subs int")), "level")
+    placed = placed.select("node", "size", "fp", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("subs"))).cast("int").alias("tile"))
+    dealt = placed.join(F.broadcast(spark.createDataFrame(pairs, "tile int, pair int, second boolean")), "tile").drop("tile")
+
+    def compare(group: pa.Table) -> pa.Table:
+        fp = group["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+        node, size = group["node"].to_numpy(), group["size"].to_numpy()
+        found, least, degree = tile_forest(fp, size, group["second"].to_numpy(), similar)
+        return pa.table({"a": node[least], "b": node[found], "n": degree, "size": size[found], "fp": _listed(fp[found])})
 
-    return map_texts(rows, run, "row long, digest binary, size long, fp array<long>, bands array<long>")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "pair").groupBy("pair").applyInArrow(compare, "a long, b long, n long, size long, fp array<long>")
 
 
 def _asked(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -206,15 +285,13 @@ def _filed(texts: DataFrame, similar: float) -> Table:
 def _similar(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, similar: float) -> Table:
     """Those of ``pairs(a, b)`` whose sets of shingles have at least this Jaccard similarity.
 
-    ``sketches(node, size, fp)`` rule out most others: by sizes for sure, by RADIUS but for a chance of 1e-9.
+    ``sketches(node, size, fp)`` rule out most others: by sizes for sure, by RADIUS as above.
     """
-    pairs = Table(pairs.distinct(), "pairs").df
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    met = Table(sketches.join(met, "node", "left_semi"), "met").df
-    one, other = (met.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("fp").alias(f"fp_{n}")) for n in "ab")
+    pairs = pairs.distinct()
+    one, other = (sketches.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("fp").alias(f"fp_{n}")) for n in "ab")
     apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     alike = F.least("size_a", "size_b") >= similar * F.greatest("size_a", "size_b")
-    pairs = Table(pairs.join(one, "a").join(other, "b").where(alike & ((F.least("size_a", "size_b") < FEW) | (apart <= RADIUS))).select("a", "b"), "near").df
+    pairs = Table(pairs.join(one, "a").join(other, "b").where(alike & (apart <= RADIUS)).select("a", "b"), "near").df
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -251,22 +328,26 @@ def near_copy_classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     similarity of at least ``similar`` are linked; texts without words link with each other.
     """
     marks = Table(_sketches(rows), "sketches").df
-    reps = Table(marks.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n")), "reps").df
-    sketches = marks.select(F.col("row").alias("node"), "size", "fp")
-    # Fingerprints stay behind; only candidates read them.
-    held = marks.select(F.col("row").alias("node"), "bands").join(reps.select("node"), "node", "left_semi")
-    filed = Table(held, "held").df.select("node", F.explode("bands").alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = Table(filed.join(Table(sizes, "sizes").df, "key"), "shared").df
-    degrees = Table(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degrees").df
-    live = Table(shared.join(degrees, "node"), "live").df
-    hubs = live.groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
-    pairs = live.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    reps = marks.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"))
+    reps = Table(reps, "reps").df
+    chosen = marks.select(F.col("row").alias("node"), "size", "fp").join(reps.select("node"), "node", "left_semi")
+    links = Table(_links(Table(chosen, "chosen").df, similar), "links").df
+    groups = Table(connected_components(links.select("a", "b")), "groups").df
+    ends = links.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("degree"), F.first("size").alias("size"), F.first("fp").alias("fp"))
+    met = Table(ends.join(groups, "node"), "met").df
+    sketches = met.select("node", "size", "fp")
+    # Of each group its hub and how many it has.
+    hubs = met.groupBy("component").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"), F.count("*").alias("of"))
+    named = Table(met.select("node", "component").join(hubs, "component"), "named").df
+    small = named.where(F.col("of") <= SMALL)
+    pairs = small.select("component", F.col("node").alias("a")).join(small.select("component", F.col("node").alias("b")), "component").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(named.where((F.col("of") > SMALL) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     first = _similar(pairs, sketches, rows, similar).df
-    found = Table(connected_components(first), "classes").df
-    live = Table(live.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "live").df
-    mixed = live.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = Table(live.join(mixed, "key", "left_semi").select("node", "c").distinct(), "left").df
+    found = connected_components(first).withColumnRenamed("component", "c")
+    large = named.where(F.col("of") > SMALL).join(found, "node", "left")
+    large = Table(large.select("node", "component", F.coalesce("c", "node").alias("c")), "large").df
+    mixed = large.groupBy("component").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("component")
+    left = Table(large.join(mixed, "component", "left_semi").select("node", "c"), "left").df
     second = _similar(_rare_pairs(left, rows, similar), sketches, rows, similar).df
     classes = Table(connected_components(first.unionByName(second)), "classes").df
     of_rep = Table(reps.join(classes, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("class")), "classes").df

@@ -86,3 +86,43 @@ def test_colliding_counts_lose_no_pair(spark, monkeypatch):
     levels = np.frombuffer(nearcopies._levels(rows), np.uint8)
     assert len(levels) == 512 and (levels > 0).any()
     assert nearcopies._levels(rows.limit(0)) == bytes(512)
+
+
+def test_tiles_find_all_links_within_the_radius(monkeypatch):
+    monkeypatch.setattr(nearcopies, "TILE_ROWS", 40)
+    monkeypatch.setattr(nearcopies, "LEAST_ROWS", 40)
+    monkeypatch.setattr(nearcopies, "STEP", 16)
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 2**63, (300, nearcopies.WIDE)).astype(np.uint64)
+    for i in range(100, 300):  # one to eighty bits of an earlier one are changed
+        fp[i] = fp[rng.integers(0, i)]
+        for bit in rng.integers(0, 64 * nearcopies.WIDE, rng.integers(1, 80)):
+            fp[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    sizes = rng.integers(20, 60, 300)
+    apart = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    first = np.bitwise_count(fp[:, None, :2] ^ fp[None, :, :2]).sum(axis=2)
+    alike = np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes)
+    links = np.triu(alike & (apart <= nearcopies.RADIUS) & (first <= nearcopies.FIRST), 1)
+    counts = [(int(s), int(s), int(s), int((sizes == s).sum())) for s in np.unique(sizes)]
+    places, pairs = nearcopies.tile_pairs(counts, 0.8)
+    tile_of = {level: (at, subs) for level, at, subs in places}
+    tile = np.array([tile_of[s][0] + i % tile_of[s][1] for i, s in enumerate(sizes)])
+    names, degree = np.arange(300), np.zeros(300, int)
+    for pair in {p for _, p, _ in pairs}:
+        sides = {second: t for t, p, second in pairs if p == pair}
+        at = np.flatnonzero(np.isin(tile, list(sides.values())))
+        assert len(at) <= 80
+        second = tile[at] == sides[True] if True in sides else np.zeros(len(at), bool)
+        found, least, n = nearcopies.tile_forest(fp[at], sizes[at], second, 0.8)
+        degree[at[found]] += n
+        nearcopies.settle(names, at[least], at[found])
+    want = np.arange(300)
+    nearcopies.settle(want, *np.nonzero(links))
+    assert links.sum() > 100 and (names == want).all() and (degree == (links + links.T).sum(axis=1)).all()
+
+
+def test_candidates_come_from_fingerprints_alone(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k")], "row long, text string")
+    assert {r["class"] for r in nearcopies.near_copy_classes(rows).collect()} == {1}
+    monkeypatch.setattr(nearcopies, "RADIUS", 0)  # similar sets whose fingerprints aren't within the radius aren't compared
+    assert {r["class"] for r in nearcopies.near_copy_classes(rows).collect()} == {1, 2}
