@@ -354,6 +354,16 @@ def near_copy_classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return join_keyed(marks.select("row", "digest"), of_rep, "digest").select("row", "class")
 
 
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The ``rows`` whose ROW is in ``kept(ROW)``, by a bit a row that every task holds, so that rows needn't travel."""
+    bit = F.expr(f"shiftleft(1L, cast({ROW} & 63 as int))")
+    words = kept.groupBy(F.shiftright(ROW, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    listed = F.map_from_entries(F.collect_list(F.struct((F.col("word") % 64).cast("int").alias("at"), "bits")))
+    maps = Table(words.groupBy(F.shiftright("word", 6).alias(f"{ROW}_part")).agg(listed.alias(f"{ROW}_bits")), "maps").df
+    marked = rows.join(F.broadcast(maps), F.shiftright(ROW, 12) == F.col(f"{ROW}_part"))
+    return marked.where(F.expr(f"getbit({ROW}_bits[cast(shiftright({ROW}, 6) % 64 as int)], cast({ROW} & 63 as int)) = 1")).select(rows.columns)
+
+
 def keep_one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Of each class of near copies the row with the smallest doc_id, all columns as they are.
 
@@ -366,4 +376,4 @@ def keep_one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     ids = numbered.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"]
     kept = classes.join(ids, "row").groupBy("class").agg(first.alias(ROW)).select(ROW)
-    return numbered.join(Table(kept, "kept").df, ROW, "left_semi").select(docs.columns)
+    return _only(numbered, Table(kept, "kept").df).select(docs.columns)

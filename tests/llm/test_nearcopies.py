@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import nearcopies
 from lumenframe.llm.nearcopies import keep_one_of_each
+from lumenframe.llm.simhash import ROW
+from lumenframe.llm.storage import Table
 
 SCHEMA = "doc_id long, text string, row string, key string"
 
@@ -126,3 +128,12 @@ def test_candidates_come_from_fingerprints_alone(spark, monkeypatch):
     assert {r["class"] for r in nearcopies.near_copy_classes(rows).collect()} == {1}
     monkeypatch.setattr(nearcopies, "RADIUS", 0)  # similar sets whose fingerprints aren't within the radius aren't compared
     assert {r["class"] for r in nearcopies.near_copy_classes(rows).collect()} == {1, 2}
+
+
+def test_kept_rows_are_picked_without_moving_texts(spark):
+    rows = spark.range(0, 20000, 1, 3).withColumn(ROW, F.monotonically_increasing_id())
+    rows = Table(rows, "rows").df
+    kept = Table(rows.where("id % 3 = 1 or id % 64 = 63").select(ROW), "kept").df
+    found = nearcopies._only(rows, kept)
+    assert sorted(r.id for r in found.collect()) == [i for i in range(20000) if i % 3 == 1 or i % 64 == 63]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and nearcopies._only(rows, kept.limit(0)).count() == 0
