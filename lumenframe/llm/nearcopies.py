@@ -21,7 +21,10 @@ the first such one so early that enough others can follow (the prefix and positi
 joins, which are exact in any order that all sets share); so texts that share a frequent passage alone
 don't meet.  Shingles are ordered by counts in PLACES hashed places, a bounded table that every task holds,
 so a text finds its own fifth and no other shingle travels.  Collisions make a rare shingle look frequent,
-never a frequent one rare: they cost candidates and lose none.
+never a frequent one rare: they cost candidates and lose none.  A shingle that up to SMALL texts file gives
+their pairs.  Those that file one together with more are compared as sets in tiles, as the fingerprints are:
+a set travels once a tile of its class and a task emits a spanning forest, so that near copies whose hub
+isn't in their middle, or went in an earlier stage, never become all their pairs.
 """
 
 from __future__ import annotations
@@ -53,6 +56,8 @@ SMALL = 8
 #: Places that shingles are counted in, and the parts those counts travel in.
 PLACES = 1 << 24
 PARTS = 256
+#: Sets of a tile at least and at most, how many tiles a class should have, and shingles of a tile together.
+SET_ROWS, SET_MOST, SET_TILES, SET_SHINGLES = 128, 2048, 16, 1 << 21
 #: Bits of the filter of rows whose texts are asked for.
 ASKED_BITS = 1 << 27
 _SEEDS = mix(np.arange(1, WIDE + 1, dtype=np.uint64))
@@ -309,11 +314,87 @@ def _similar(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, similar: fl
     return Table(map_texts(y.join(x, "a").select("a", "b", "x", "y"), run, "a long, b long"), "similar")
 
 
-def _rare_pairs(nodes: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) of ``nodes(node, c)`` of different classes c, among them all whose sets are ``similar``."""
+def set_forest(sets: list[np.ndarray], classes: np.ndarray, second: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of links between different ``classes`` of ``sets``, a spanning forest of all such links.
 
-    texts = _asked(rows, nodes.select(F.col("node").alias("row"))).join(nodes, F.col("row") == F.col("node"))
-    filed = _filed(Table(texts.select("node", "c", "text"), "texts").df, similar).df
+    Linked are sets with at least this Jaccard similarity; where ``second`` holds for some, only those are
+    compared with the others.
+    """
+    two = bool(second.any())
+    sizes = np.array([len(x) for x in sets], np.int64)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # For each shingle the sets that have it, one after the other.
+    order = np.argsort(ids, kind="stable")
+    order = order[second[owner[order]]] if two else order
+    having, cuts = owner[order], np.concatenate(([0], np.cumsum(np.bincount(ids[order], minlength=ids.max(initial=-1) + 1))))
+    _, first, of = np.unique(classes, return_index=True, return_inverse=True)
+    names = first[of]
+    left, right = [], []
+    for x in np.flatnonzero(~second) if two else range(len(sets)):
+        mine = ids[bounds[x] : bounds[x + 1]]
+        runs = [having[a:b] for a, b in zip(cuts[mine].tolist(), cuts[mine + 1].tolist(), strict=True) if b - a > (not two)]
+        if not runs:
+            continue
+        both = np.bincount(np.concatenate(runs), minlength=len(sets))
+        y = np.flatnonzero((both > 0) & (names != names[x]))
+        y = y[both[y] >= similar * (sizes[x] + sizes[y] - both[y])]
+        if len(y):
+            y = y[np.unique(names[y], return_index=True)[1]]
+            left.append(np.full(len(y), x))
+            right.append(y)
+            settle(names, left[-1], y)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _set_links(texts: DataFrame, similar: float) -> Table:
+    """Links (a, b) among ``texts(node, component, c, text)`` whose closure with the classes c is that of all similar sets of a component."""
+    spark = texts.sparkSession
+    sets = Table(_shingle_sets(texts, ["node", "component", "c"], "held"), "sets").df
+    sizes = sets.groupBy("component").agg(F.count("*").alias("n"), (F.sum(F.octet_length("held")) / 8).alias("all"))
+    rows = F.greatest(F.least(F.ceil(F.col("n") / SET_ROWS), F.lit(SET_TILES)), F.ceil(F.col("n") / SET_MOST), F.ceil(F.col("all") / SET_SHINGLES))
+    # A class of several tiles has SET_ROWS sets or SET_SHINGLES shingles and more, so these are few.
+    tiles = Table(sizes.select("component", F.least(rows, F.col("n")).cast("int").alias("tiles")).where("tiles > 1"), "tiles").df
+    placed = sets.join(F.broadcast(tiles), "component", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "node", "c", "held")
+
+    def compare(group: pa.Table) -> pa.Table:
+        held = [np.frombuffer(v.as_buffer(), np.uint64) for v in group["held"]]
+        node, second = group["node"].to_numpy(), group["second"].to_numpy()
+        # Of two tiles one may be empty; the other is compared with itself elsewhere.
+        alone = group["lo"][0].as_py() != group["hi"][0].as_py() and (second.all() or not second.any())
+        i, j = (np.zeros(0, np.int64),) * 2 if alone else set_forest(held, group["c"].to_numpy(), second, similar)
+        return pa.table({"a": node[i], "b": node[j]})
+
+    keys = ["component", "lo", "hi"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return Table(dealt.repartition(n, *keys).groupBy(*keys).applyInArrow(compare, "a long, b long"), "alike")
+
+
+def _left_links(left: DataFrame, sketches: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) among ``left(node, component, c)`` whose closure with the classes c is that of all similar sets of a component."""
+    texts = _asked(rows, left.select(F.col("node").alias("row"))).join(left, F.col("row") == F.col("node"))
+    texts = Table(texts.select("node", "component", "c", "text"), "texts").df
+    filed = _filed(texts, similar).df
+    met = filed.groupBy("shingle").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    met = Table(met.select("shingle", "n"), "met").df
+    few = filed.join(met.where(F.col("n") <= SMALL), "shingle", "left_semi")
+    crowded = Table(filed.join(met.where(F.col("n") > SMALL), "shingle", "left_semi").select("node").distinct(), "crowded").df
+    pairs = _similar(_rare_pairs(left, rows, similar, few), sketches, rows, similar).df
+    return pairs.unionByName(_set_links(texts.join(crowded, "node", "left_semi"), similar).df)
+
+
+def _rare_pairs(nodes: DataFrame, rows: DataFrame, similar: float, filed: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of ``nodes(node, c)`` of different classes c, among them all whose sets are ``similar``.
+
+    Given what is ``filed`` of them, only pairs that meet there.
+    """
+    if filed is None:
+        texts = _asked(rows, nodes.select(F.col("node").alias("row"))).join(nodes, F.col("row") == F.col("node"))
+        filed = _filed(Table(texts.select("node", "c", "text"), "texts").df, similar).df
     other = filed.select("shingle", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("c").alias("c_b"))
     # Of a pair's common shingles the first has the widest bound, so a similar pair passes by it.
     follow = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
@@ -347,8 +428,8 @@ def near_copy_classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     large = named.where(F.col("of") > SMALL).join(found, "node", "left")
     large = Table(large.select("node", "component", F.coalesce("c", "node").alias("c")), "large").df
     mixed = large.groupBy("component").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("component")
-    left = Table(large.join(mixed, "component", "left_semi").select("node", "c"), "left").df
-    second = _similar(_rare_pairs(left, rows, similar), sketches, rows, similar).df
+    left = Table(large.join(mixed, "component", "left_semi"), "left").df
+    second = _left_links(left, sketches, rows, similar)
     classes = Table(connected_components(first.unionByName(second)), "classes").df
     of_rep = Table(reps.join(classes, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("class")), "classes").df
     return join_keyed(marks.select("row", "digest"), of_rep, "digest").select("row", "class")

@@ -137,3 +137,46 @@ def test_kept_rows_are_picked_without_moving_texts(spark):
     found = nearcopies._only(rows, kept)
     assert sorted(r.id for r in found.collect()) == [i for i in range(20000) if i % 3 == 1 or i % 64 == 63]
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and nearcopies._only(rows, kept.limit(0)).count() == 0
+
+
+def test_set_tiles_find_all_links_between_classes():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 10000, 100)
+    sets = [np.unique(np.where(rng.random(100) < rng.uniform(0, 0.3), rng.integers(0, 10000, 100), base)).astype(np.uint64) for _ in range(90)]
+    sets += [np.unique(rng.integers(10000, 10300, rng.integers(1, 9))).astype(np.uint64) for _ in range(40)]
+    alike = np.array([[len(np.intersect1d(p, q)) >= 0.8 * len(np.union1d(p, q)) for q in sets] for p in sets])
+    given = np.where(np.arange(len(sets)) % 9 == 0, 7, 100 + np.arange(len(sets)))
+    for second in (np.zeros(len(sets), bool), rng.random(len(sets)) < 0.5):
+        want = np.unique(given, return_index=True)[1][np.unique(given, return_inverse=True)[1]]
+        got = want.copy()
+        apart = len(set(want.tolist()))
+        nearcopies.settle(want, *np.nonzero(alike & (second[:, None] < second if second.any() else True)))
+        i, j = nearcopies.set_forest(sets, given, second, 0.8)
+        nearcopies.settle(got, i, j)
+        assert (got == want).all() and len(i) == apart - len(set(want.tolist())) > 10
+
+
+def test_near_copies_apart_from_their_hub_are_not_expanded_into_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SET_ROWS", 16)
+    rng = np.random.default_rng(9)
+    say = lambda n: ["w%d" % x for x in rng.integers(0, 5000, n)]
+    base, texts = say(200), []
+    for k in range(60):  # near copies of a text that isn't there, each with its own change
+        texts.append(" ".join(base[: 3 * k] + say(1) + base[3 * k + 1 :]))
+    for k in range(3):  # and texts on the way away from it
+        words = list(base)
+        for at in range(6 + k, 200, 11):
+            words[at] = say(1)[0]
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    left = rows.select(F.col("row").alias("node"), F.lit(0).cast("long").alias("component"), F.col("row").alias("c"))
+    compared, similar = [], nearcopies._similar
+    monkeypatch.setattr(nearcopies, "_similar", lambda pairs, *more: compared.append(pairs.distinct().count()) or similar(pairs, *more))
+    sketches = nearcopies._sketches(rows).select(F.col("row").alias("node"), "size", "fp")
+    links = [(r.a, r.b) for r in nearcopies._left_links(left, sketches, rows, 0.8).collect()]
+    names, want = np.arange(len(texts)), plain(texts)
+    nearcopies.settle(names, *np.array(links).T)
+    assert names.tolist() == want and want[:60] == [0] * 60 and len(set(want)) == 4
+    assert compared[0] <= 4 * len(texts) and len(links) <= 4 * len(texts)
+    # All their pairs meet in the filter, which is what was compared before.
+    assert nearcopies._rare_pairs(left.select("node", "c"), rows, 0.8).distinct().count() > 60 * 59 / 4
